@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, percentiles, tokenizing
-from quillstone.session import cut, table
+from quillstone.functions.missing import is_missing_text
+from quillstone.llm import mixing, percentiles, setsim, tokenizing
+from quillstone.session import broadcast_if_small, cut, table
 
 PERCENTILES = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 COLUMNS = ["q10", "q50", "q90"]
@@ -32,6 +33,21 @@ def p1_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("g").alias("ts_key"), F.col("c").alias("column_name"), "p", "value", "n")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list item that each free entry of the work records means, 0 for none."""
+    fields = ["service_region", "sector", "interaction_type"]
+    ref = table(spark, sf_dir, "col_values").select(F.col("col_name").alias("field"), F.col("ref_id").alias("item"), "good_value", "bad_values")
+    items = ref.select("field", "item", F.col("good_value").alias("name"))
+    other = ref.select("field", "item", F.explode("bad_values").alias("name"))
+    recs = table(spark, sf_dir, "imputer").select("rec_id", *fields).distinct()  # deliveries of a record are equal
+    cells = recs.select("rec_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("entry")) for f in fields])).alias("c")).select("rec_id", "c.*")
+    cells = cells.where(~is_missing_text(F.col("entry")))
+    good = items.select("field", F.col("name").alias("entry")).distinct()
+    free = cells.join(broadcast_if_small(good), ["field", "entry"], "left_anti")
+    out = setsim.map_to_list(free, items, other)
+    return out.select("rec_id", F.col("field").alias("field_name"), F.coalesce(F.col("item"), F.lit(0)).cast("long").alias("ref_id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -68,6 +84,7 @@ QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_daily_counts": p1_daily_counts,
     "p1_combined": p1_combined,
+    "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
