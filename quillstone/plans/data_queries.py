@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from quillstone.functions.missing import NO_VALUE, is_missing_number, is_missing_text, plain_key
 from quillstone.operators.fill import FillSpec, apply_fills, missing_fills
 from quillstone.operators.intervals import periods_and_gaps
+from quillstone.operators.spikes import implausible_readings
 from quillstone.session import broadcast_if_small, table
 
 WORKING_LIFE_DAYS = 60 * 366
 
 
+READING_BOUNDS = {"secs": (0.0, None, False), "count": (0.0, None, True), "share": (0.0, 1.0, False)}
+
+
+def p2_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Implausible readings with the kind of fault."""
+    return implausible_readings(table(spark, sf_dir, "pandas_utils"), "obs_id", "series_id", "ds", "y", "yhat", "y_unit", READING_BOUNDS)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that are spikes, stuck or impossible."""
+    return p2_faults(spark, sf_dir).select("obs_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods and gaps of every guest's stays."""
     stays = table(spark, sf_dir, "interview_data").where(
@@ -58,7 +72,7 @@ def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_fills(recs, "rec_id", fills, ["service_region", "language", "interaction_type", "tenure_days"])
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_filled": p5_filled}
+QUERIES = {"p2_found": p2_found, "p2_faults": p2_faults, "p3_found": p3_found, "p5_found": p5_found, "p5_filled": p5_filled}
 
 _NO_VALUE = ", ".join(f"'{x}'" for x in NO_VALUE)
 
