@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.missing import is_missing_text
-from quillstone.llm import mixing, percentiles, setsim, tokenizing
+from quillstone.llm import mixing, percentiles, quality, setsim, tokenizing
 from quillstone.session import broadcast_if_small, cut, table
 
 PERCENTILES = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
@@ -80,6 +80,16 @@ def p7_report_full_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(*_mix(spark, sf_dir, whole=True))
 
 
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, posteriors and type of every document's text."""
+    return quality.text_types(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text is for the larger part a list, a table or junk."""
+    return p8_statistics(spark, sf_dir).where("text_type <> 'prose'").select("doc_id")
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_daily_counts": p1_daily_counts,
@@ -89,6 +99,8 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p7_report_full_size": p7_report_full_size,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 _P = str(PERCENTILES)
