@@ -7,8 +7,8 @@ often than not), and the posterior of each type is put out per document.
 
 Scale: statistics and votes are built-in expressions in one narrow pass over whole texts. EM needs
 only how often each combination of votes occurs: one partial aggregate, whose result has at most
-``prod(votes of a function)`` rows whatever the corpus, and is fitted on the driver. The posteriors
-are an expression of the votes, so the second pass is narrow as well. No row moves.
+``prod(votes of a function)`` rows whatever the corpus, and is fitted on the driver. The posterior of
+each combination is joined by broadcast in a second narrow pass. No row moves.
 
 Null, empty and blank texts have no type (null) and statistics of zero; letters, digits and symbols
 are counted over all characters; lines are cut at any line end.
@@ -17,7 +17,6 @@ are counted over all characters; lines are cut at any line end.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -65,12 +64,22 @@ def line_facts(line: Column, words: Column) -> Column:
     )
 
 
-def text_statistics(text: Column) -> Column:
-    """All statistics of a text as a struct; a null text has those of an empty one."""
+def once(c: Column) -> Column:
+    """``c`` behind a generator of one row: computed once, not copied into whatever refers to it."""
+    return F.explode(F.array(c))
+
+
+def split_text(text: Column) -> Column:
+    """The text (null as empty) with its lines that are not blank and their words in lower case."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     # rows of HTML tables are lines
     lines = F.filter(F.split(F.regexp_replace(t, r"(?i)</(?:tr|li|p|div|h\d)>|<br\s*/?>", "\n"), r"\R"), lambda x: F.trim(x).rlike(r"\S"))
-    split = F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)).alias("words")))
+    return F.struct(t.alias("text"), F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)).alias("words"))).alias("lines"))
+
+
+def text_statistics(parts: Column) -> Column:
+    """All statistics of a text as a struct, from a column of ``split_text``; a null text has those of an empty one."""
+    t, split = parts["text"], parts["lines"]
     facts = F.transform(split, lambda x: line_facts(x["line"], x["words"]))
     zero = F.lit(0).cast("long")
     names = ("n", "words", "common", "letters", "cjk", "kana", "odd", "ended", "listed", "celled", "paired", "brief", "prose", "lines")
@@ -219,37 +228,42 @@ def _posterior(onehot: np.ndarray, log_pi: np.ndarray, log_theta: np.ndarray) ->
     return post / post.sum(axis=1, keepdims=True)
 
 
+def _voted(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, statistics ``s`` and the vote codes ``v``."""
+    parts = df.select(F.col(key).alias("key"), once(split_text(F.col(text))).alias("parts"))
+    base = parts.select("key", once(text_statistics(F.col("parts"))).alias("s"))
+    return base.select("key", "s", once(F.array(*vote_codes(F.col("s")))).alias("v"))
+
+
+def _fitted(voted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vote combinations that occur, log priors and log accuracies."""
+    counted = voted.where(F.col("s.n_lines") > 0).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per combination of votes
+    counted.sort(key=lambda r: r["v"])
+    possible = _possible(F.col("s"))
+    patterns = np.array([r["v"] for r in counted], dtype=int).reshape(-1, len(possible))
+    return patterns, *fit_accuracies(patterns, np.array([r["n"] for r in counted], dtype=float), possible)
+
+
 def text_types(df: DataFrame, key: str, text: str) -> DataFrame:
     """``<key>``, the statistics, ``p_prose, p_list, p_table, p_junk`` and ``text_type`` of each row.
 
     Blank texts have null posteriors and type. Equal rows get equal results; ties of the posterior
     go to the earlier type. An empty table gives an empty result.
     """
-    base = df.select(F.col(key).alias("key"), text_statistics(F.col(text)).alias("s"))
-    voted = base.select("key", "s", *vote_codes(F.col("s")))
-    names = [lab.name for lab in labellers(F.col("s"))]
-    counted = voted.where(F.col("s.n_lines") > 0).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per combination of votes
-    patterns = np.array([[r[n] for n in names] for r in counted], dtype=int).reshape(-1, len(names))
-    log_pi, log_theta = fit_accuracies(patterns, np.array([r["n"] for r in counted], dtype=float), _possible(F.col("s")))
-    score = []
-    for c in range(len(TYPES)):
-        parts = [F.get(F.array(*[F.lit(float(x)) for x in log_theta[j, c]]), F.col(n)) for j, n in enumerate(names)]
-        score.append(reduce(lambda a, b: a + b, parts, F.lit(float(log_pi[c]))))
-    scored = voted.select("key", "s", F.array(*score).alias("l"))
-    top = F.array_max("l")
-    probs = F.transform("l", lambda x: F.exp(x - top))
-    scored = scored.select("key", "s", probs.alias("w"), F.aggregate(probs, F.lit(0.0), lambda a, x: a + x).alias("z"))
+    voted = _voted(df, key, text)
+    patterns, log_pi, log_theta = _fitted(voted)
+    onehot = (patterns[:, :, None] == np.arange(len(TYPES) + 1)[None, None, :]).astype(float)
+    post = _posterior(onehot, log_pi, log_theta) if len(patterns) else np.zeros((0, len(TYPES)))
+    names = [f"p_{t}" for t in TYPES]
+    rows = [(v.tolist(), *map(float, p), TYPES[int(p.argmax())]) for v, p in zip(patterns, post)]
+    table = df.sparkSession.createDataFrame(rows, "v array<int>, " + ", ".join(f"{n} double" for n in names) + ", text_type string")
+    joined = voted.join(F.broadcast(table), "v", "left")  # one row per combination of votes
     seen = F.col("s.n_lines") > 0
-    best = F.get(F.array(*[F.lit(t) for t in TYPES]), (F.array_position("w", F.array_max("w")) - 1).cast("int"))
-    return scored.select(F.col("key").alias(key), "s.*", *[F.when(seen, F.get("w", i) / F.col("z")).alias(f"p_{t}") for i, t in enumerate(TYPES)], F.when(seen, best).alias("text_type"))
+    return joined.select(F.col("key").alias(key), "s.*", *[F.when(seen, F.col(n)).alias(n) for n in [*names, "text_type"]])
 
 
 def accuracies(df: DataFrame, key: str, text: str) -> list[dict]:
     """What was learned of the labelling functions: per function and type the shares of votes (for inspection)."""
-    voted = df.select(text_statistics(F.col(text)).alias("s")).select("s", *vote_codes(F.col("s")))
-    labs = labellers(F.col("s"))
-    names = [lab.name for lab in labs]
-    counted = voted.where(F.col("s.n_lines") > 0).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
-    patterns = np.array([[r[n] for n in names] for r in counted], dtype=int).reshape(-1, len(names))
-    _, theta = fit_accuracies(patterns, np.array([r["n"] for r in counted], dtype=float), _possible(F.col("s")))
+    _, _, theta = _fitted(_voted(df, key, text))
+    names = [lab.name for lab in labellers(F.col("s"))]
     return [{"function": n, "type": t, **{f"votes_{u}": float(np.exp(theta[j, c, 1 + i])) for i, u in enumerate(TYPES)}} for j, n in enumerate(names) for c, t in enumerate(TYPES)]
