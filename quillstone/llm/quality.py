@@ -8,7 +8,8 @@ often than not), and the posterior of each type is put out per document.
 Scale: statistics and votes are built-in expressions in one narrow pass over whole texts. EM needs
 only how often each combination of votes occurs: one partial aggregate, whose result has at most
 ``prod(votes of a function)`` rows whatever the corpus, and is fitted on the driver. The posterior of
-each combination is joined by broadcast in a second narrow pass. No row moves.
+each combination is joined by broadcast to the statistics, which are kept in the shared checkpoint
+folder so that texts are read once. No row moves.
 
 Null, empty and blank texts have no type (null) and statistics of zero; letters, digits and symbols
 are counted over all characters; lines are cut at any line end.
@@ -22,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import cut
+
 TYPES = ("prose", "list", "table", "junk")
 
 # Words that any text of some length in the language has many of.
@@ -48,13 +51,14 @@ REPEATED = r"(\S)\1{9,}"
 def line_facts(line: Column, words: Column) -> Column:
     """Counts of one line, given with its words in lower case, as a struct."""
     count = lambda p: F.regexp_count(line, F.lit(p))
+    wide = F.octet_length(line) > F.char_length(line)  # else there is nothing but ASCII
     return F.struct(
         F.length(F.trim(line)).alias("n"),
         F.size(words).alias("words"),
         F.size(F.filter(words, lambda w: w.isin(*COMMON))).alias("common"),
         F.length(F.regexp_replace(line, r"[^\p{L}\p{M}]+", "")).alias("letters"),
-        count(CJK).alias("cjk"),
-        count(KANA).alias("kana"),
+        F.when(wide, count(CJK)).otherwise(F.lit(0)).alias("cjk"),
+        F.when(wide, count(KANA)).otherwise(F.lit(0)).alias("kana"),
         count(CELL).alias("cells"),
         count(SEPARATOR).alias("seps"),
         count(ODD_WORD).alias("odd"),
@@ -232,7 +236,7 @@ def _voted(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, statistics ``s`` and the vote codes ``v``."""
     parts = df.select(F.col(key).alias("key"), once(split_text(F.col(text))).alias("parts"))
     base = parts.select("key", once(text_statistics(F.col("parts"))).alias("s"))
-    return base.select("key", "s", once(F.array(*vote_codes(F.col("s")))).alias("v"))
+    return cut(base.select("key", "s", once(F.array(*vote_codes(F.col("s")))).alias("v")))
 
 
 def _fitted(voted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
