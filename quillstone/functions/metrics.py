@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,7 +184,6 @@ def white_noise_test(df: DataFrame, by: Sequence[str], order: str, col: str, p_t
 
     Shapiro-Wilk is defined for at most 5,000 values; larger groups are judged by K² alone.
     """
-    import pandas as pd
 
     from quillstone.functions.special import chi2_sf, shapiro_wilk
 

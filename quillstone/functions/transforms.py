@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,8 +194,6 @@ _EPS = 1e-7
 
 
 def _quantile_scores(edges: Sequence[float]):
-    import numpy as np
-    import pandas as pd
 
     q = np.asarray(edges, float)
     p = np.linspace(0, 1, len(q))
@@ -210,8 +210,6 @@ def _quantile_scores(edges: Sequence[float]):
 
 
 def _quantile_values(edges: Sequence[float]):
-    import numpy as np
-    import pandas as pd
 
     q = np.asarray(edges, float)
     p = np.linspace(0, 1, len(q))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,7 +106,6 @@ def kde(df: DataFrame, x: str, grid: Sequence[float], bandwidth: float | None =
 
 def kde_bandwidth(df: DataFrame, x: str, key: str, candidates: Sequence[float], folds: int = 5, digits: int = 2, max_points: int = 2000) -> float:
     """The candidate of the largest held-out log-likelihood; values are rounded to at most ``max_points`` distinct ones."""
-    import numpy as np
 
     v = no_nan(x)
     fold = F.pmod(F.xxhash64(key), F.lit(folds))
@@ -228,7 +229,6 @@ def ks_two_sample(df: DataFrame, col: str, is_first: Column, by: Sequence[str] =
 
 def with_ks_p(df: DataFrame) -> DataFrame:
     """Adds the asymptotic ``p_value`` to ``ks_two_sample``'s rows."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
