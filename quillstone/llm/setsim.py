@@ -87,38 +87,44 @@ def closest_items(entries: DataFrame, items: DataFrame, other_names: DataFrame |
     ``entries``: distinct ``field, entry`` (not null); ``items``: ``field, item, name``;
     ``other_names``: ``field, item, name``. Names and entries whose folded text is empty match nothing.
     """
-    e = cut(_tokenized(entries.select("field", "entry"), "entry").where("key <> ''"))
+    e = _tokenized(entries.select("field", "entry"), "entry").where("key <> ''")
+    e = cut(e.withColumn("eid", F.monotonically_increasing_id()))  # fixed by the checkpoint; keeps long entries out of the joins
     r = cut(_tokenized(items.select("field", "item", "name").where("name is not null"), "name").where("key <> ''").select("field", "item", "toks", "key").dropDuplicates(["field", "item", "key"]))
     r = r.withColumn("rid", F.xxhash64("field", "item", "key"))
-    rarity = e.select(F.explode("toks").alias("tok")).unionByName(r.select(F.explode("toks").alias("tok"))).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    eo, ro = _ordered(e, ["field", "entry"], rarity), _ordered(r, ["field", "item", "rid"], rarity)
+    sizes = r.agg(F.min(F.size("toks")).alias("lo"), F.max(F.size("toks")).alias("hi")).first()
+    # the length filter against all items at once: other entries cannot reach the threshold
+    fits = F.size("toks").between((sizes["lo"] or 0) * threshold - 1e-9, (sizes["hi"] or 0) / threshold + 1e-9)
+    near_e = e.where(fits).select("field", "eid", "toks")
+    rarity = near_e.select(F.explode("toks").alias("tok")).unionByName(r.select(F.explode("toks").alias("tok"))).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    eo, ro = _ordered(near_e, ["field", "eid"], rarity), _ordered(r, ["field", "item", "rid"], rarity)
 
     def prefixes(df: DataFrame, ident: Sequence[str], side: str) -> DataFrame:
         n = F.size("toks")
         short = F.slice(F.col("toks"), 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
         return df.select(*ident, n.alias(f"n{side}"), F.posexplode(short).alias(f"p{side}", "tok"))
 
-    a, b = prefixes(eo, ["field", "entry"], "a"), prefixes(ro, ["field", "item", "rid"], "b")
+    a, b = prefixes(eo, ["field", "eid"], "a"), prefixes(ro, ["field", "item", "rid"], "b")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
     near = a.join(broadcast_if_small(b), ["field", "tok"]).where(
-        (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need)
+        (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
     )
-    pairs = near.select("field", "entry", "item", "rid").distinct()
-    full = pairs.join(e.select("field", "entry", F.col("toks").alias("ta")), ["field", "entry"]).join(broadcast_if_small(r.select("rid", F.col("toks").alias("tb"))), "rid")
+    pairs = near.select("eid", "item", "rid").distinct()
+    full = pairs.join(near_e.select("eid", F.col("toks").alias("ta")), "eid").join(broadcast_if_small(r.select("rid", F.col("toks").alias("tb"))), "rid")
     common = F.size(F.array_intersect("ta", "tb"))
-    scored = full.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).where(F.col("similarity") >= threshold - 1e-9).select("field", "entry", "item", "similarity")
+    scored = full.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).where(F.col("similarity") >= threshold - 1e-9).select("eid", "item", "similarity")
     if other_names is not None:
         o = _tokenized(other_names.select("field", "item", "name").where("name is not null"), "name").where("key <> ''").select("field", "item", "key").distinct()
-        same = e.join(broadcast_if_small(cut(o)), ["field", "key"]).select("field", "entry", "item", F.lit(1.0).alias("similarity"))
+        same = e.select("field", "key", "eid").join(broadcast_if_small(cut(o)), ["field", "key"]).select("eid", "item", F.lit(1.0).alias("similarity"))
         scored = scored.unionByName(same)
-    best = scored.groupBy("field", "entry").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "item")).alias("b"))
-    return best.select("field", "entry", F.col("b.item").alias("item"), (-F.col("b.s")).alias("similarity"))
+    best = scored.groupBy("eid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "item")).alias("b"))
+    return best.join(e.select("eid", "field", "entry"), "eid").select("field", "entry", F.col("b.item").alias("item"), (-F.col("b.s")).alias("similarity"))
 
 
 def map_to_list(cells: DataFrame, items: DataFrame, other_names: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``cells`` (with ``field`` and ``entry``) with ``item`` and ``similarity``, null when unmatched.
 
-    Null entries stay unmatched. Repeated cells stay repeated. An empty list leaves all unmatched.
+    Columns of these names in ``cells`` are replaced; others are carried along. Null entries stay unmatched. Repeated cells stay repeated. An empty list leaves all unmatched.
     """
     entries = cells.where("field is not null and entry is not null").select("field", "entry").distinct()
+    cells = cells.drop("item", "similarity")
     return cells.join(closest_items(entries, items, other_names, threshold), ["field", "entry"], "left")
