@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Letters and digits of entries that state no value, lower case.
 NO_VALUE = (
-    "na", "nan", "nil", "none", "null", "n", "void", "empty", "blank", "missing", "drop", "other",
+    "na", "nan", "nil", "none", "null", "void", "empty", "blank", "missing", "drop", "other",
     "unknown", "notknown", "unspecified", "undefined", "undetermined", "unavailable", "notavailable",
     "notset", "notgiven", "notprovided", "notspecified", "notapplicable", "notstated", "noanswer", "novalue", "nodata",
-    "tbd", "tbc", "tba", "tobedetermined", "tobeconfirmed", "idk", "dontknow", "nv", "ns", "nr",
+    "tbd", "tbc", "tba", "tobedetermined", "tobeconfirmed", "dontknow",
     "sindato", "sindatos", "desconocido", "noconsta", "nodisponible", "noespecificado", "ninguno",
     "keineangabe", "keineangaben", "unbekannt", "nichtangegeben", "nichtverfügbar", "keine",
     "nonrenseigné", "nonrenseigne", "inconnu", "nonprécisé", "nonspécifié", "nondisponible", "aucun",
@@ -25,9 +25,9 @@ def plain_key(c: Column) -> Column:
 
 
 def is_missing_text(c: Column) -> Column:
-    """True for null, blank, punctuation only, and entries that only say that no value is given."""
+    """True for null, blank, punctuation only, and entries that only say that no value is given (``\\N`` too)."""
     key = plain_key(c)
-    return c.isNull() | (key == "") | key.isin(*NO_VALUE)
+    return c.isNull() | (key == "") | key.isin(*NO_VALUE) | c.rlike(r"^\s*\\[Nn]\s*$")
 
 
 def is_missing_number(c: Column, low: float | None = None, high: float | None = None) -> Column:

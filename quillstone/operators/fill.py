@@ -42,7 +42,7 @@ class FillSpec:
 def missing_fills(df: DataFrame, key: str, specs: Sequence[FillSpec], min_support: int = 1) -> DataFrame:
     """One row per missing cell: ``key, field_name, fill_value, fill_level, fill_support``.
 
-    ``fill_level`` is the index of the grouping used, the number of groupings for the whole table;
+    ``fill_level`` is the index of the grouping used, for the whole table the largest number of groupings of a field;
     without any vote ``fill_value`` is null and ``fill_level`` is -1. Ties of the mode go to the
     largest value. Rows must be unique by ``key``. Empty input gives an empty result.
     """

@@ -88,7 +88,7 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, block_day
     may occur among them.
     """
     width = block_days * 86400
-    sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("long")
+    sec = lambda c: F.unix_timestamp(F.date_trunc("second", F.col(c).cast("timestamp"))).cast("long")
     kind = df.schema[entity].dataType.simpleString()
     cut = (
         df.select(F.col(entity).alias("k"), sec(start).alias("s"), sec(end).alias("e"))

@@ -101,7 +101,7 @@ t as (
   union all select rec_id, agent_id, ds, 'language', language from r
   union all select rec_id, agent_id, ds, 'interaction_type', interaction_type from r),
 k as (select *, lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) as key from t),
-m as (select *, x is null or key = '' or key in ({_NO_VALUE}) as miss from k),
+m as (select *, x is null or key = '' or key in ({_NO_VALUE}) or regexp_full_match(x, '\\s*\\\\[Nn]\\s*') as miss from k),
 c as (
   select m.rec_id, m.agent_id, m.ds, m.f, m.miss, 0 as ctx,
     case when m.miss then null when m.f = 'language' then case when regexp_full_match(m.x, '[a-z]{{2}}') then m.x end else nk.good_value end as v
