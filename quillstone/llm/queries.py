@@ -109,6 +109,6 @@ SQL = {
 with r as (select distinct fit_id, ts_key, q10, q50, q90 from q_fits),
 u as (select ts_key, 'q10' as c, q10 as v from r union all select ts_key, 'q50', q50 from r union all select ts_key, 'q90', q90 from r),
 f as (select * from u where v is not null and isfinite(v))
-select ts_key, c as column_name, unnest({_P}) as p, unnest(quantile_disc(v, {_P})) + 0.0 as value, count(*) as n from f group by 1, 2
+select ts_key, c as column_name, unnest({_P})::double as p, unnest(quantile_disc(v, {_P})) + 0.0 as value, count(*) as n from f group by 1, 2
 """,
 }
