@@ -20,7 +20,7 @@ AGGREGATES = {"median": F.median, "avg": F.avg, "min": F.min, "max": F.max, "sum
 def size_bin(x: Column, lo: Column, hi: Column, n: int) -> Column:
     """0-based bin of n equal widths; 0 when there is no width."""
     w = (hi - lo) / n
-    return F.when(w > 0, F.least(F.lit(n - 1), F.greatest(F.lit(0), F.ceil((x - lo) / w) - 1))).otherwise(F.when(x.isNotNull(), F.lit(0))).cast("int")
+    return F.when(x.isNotNull() & (w > 0), F.least(F.lit(n - 1), F.greatest(F.lit(0), F.ceil((x - lo) / w) - 1))).otherwise(F.when(x.isNotNull(), F.lit(0))).cast("int")
 
 
 def count_bin(x: Column, edges: Column) -> Column:

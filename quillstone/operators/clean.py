@@ -195,7 +195,7 @@ def num_dedup(df: DataFrame, idx_cols: Sequence[str], ycol: str, tol: float = 0.
     stats = keyed.groupBy(*idx_cols).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi"), F.avg(y).alias("_avg"))
     # |a - b| / |a + b| of mixed signs is at least 1, so its gap is at least one half
     gap = F.when(F.col("_lo") * F.col("_hi") < 0, F.greatest(F.lit(0.5), relative_gap(F.col("_lo"), F.col("_hi")))).otherwise(relative_gap(F.col("_lo"), F.col("_hi")))
-    stats = stats.withColumn("_dup", F.coalesce(gap > tol, F.lit(False)))
+    stats = stats.withColumn("_dup", F.col("_lo").isNotNull() & F.coalesce(gap > tol, F.lit(False)))
     dedups = stats.where(~F.col("_dup")).select(*idx_cols, F.col("_avg").alias(ycol))
     dups = keyed.join(stats.where("_dup").select(*idx_cols), list(idx_cols), "left_semi")
     return dedups, dups

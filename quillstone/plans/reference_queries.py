@@ -132,7 +132,7 @@ def near_dup_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(n, ["p_brand", "p_type"])
 
 
-@query("select p_partkey, p_size, case when p_mfgr is null then null when p_mfgr = 'A' then 1.0 else 0.0 end as a, case when p_mfgr is null then null when p_mfgr = 'B' then 1.0 else 0.0 end as b from (select *, case when p_size % 3 = 0 then null when p_size % 2 = 0 then 'A' else 'B' end as p_mfgr from part)")
+@query("select p_partkey, p_size, case when p_mfgr is null then null when p_mfgr = 'A' then 1.0 else 0.0 end::double as a, case when p_mfgr is null then null when p_mfgr = 'B' then 1.0 else 0.0 end::double as b from (select *, case when p_size % 3 = 0 then null when p_size % 2 = 0 then 'A' else 'B' end as p_mfgr from part)")
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators, blank where the source is."""
     df = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(F.col("p_size") % 3 != 0, F.when(F.col("p_size") % 2 == 0, "A").otherwise("B")).alias("m"))
@@ -302,7 +302,7 @@ def iso_week_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 with d as (select cast(o_orderdate as date) as d, sum(o_totalprice) as y from orders group by 1),
 r as (select week(d) as iso_nbr, isoyear(d) as y0, d, y from d)
-select iso_nbr, strftime(min(case when y0 = 1995 then d end), '%Y-%m-%d') as d, round(avg(case when y0 = 1995 then y end), 4) as y1995, round(avg(case when y0 = 1996 then y end), 4) as y1996, round(avg(case when y0 = 1997 then y end), 4) as y1997 from r group by 1 having min(case when y0 = 1995 then d end) is not null
+select iso_nbr::int as iso_nbr, strftime(min(case when y0 = 1995 then d end), '%Y-%m-%d') as d, round(avg(case when y0 = 1995 then y end), 4) as y1995, round(avg(case when y0 = 1996 then y end), 4) as y1996, round(avg(case when y0 = 1997 then y end), 4) as y1997 from r group by r.iso_nbr having min(case when y0 = 1995 then d end) is not null
 """
 )
 def year_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,9 +338,9 @@ _LS = "(last_day({0}) - ((cast(isodow(last_day({0})) as int) + 1) % 7))::date"
 @query(
     f"""
 with d as (select distinct cast(o_orderdate as date) as d from orders)
-select strftime(d, '%Y-%m-%d') as d, dayofyear(d) as yday, week(d) as wk, isodow(d) - 1 as wd, week(make_date(year(d), 12, 28)) as weeks,
+select strftime(d, '%Y-%m-%d') as d, dayofyear(d)::int as yday, week(d)::int as wk, (isodow(d) - 1)::int as wd, week(make_date(year(d), 12, 28))::int as weeks,
   strftime(date_trunc('week', make_date(year(d), 1, 4)) - interval 1 day, '%Y-%m-%d') as iso_first, strftime(date_trunc('week', make_date(year(d), 12, 28)) - interval 1 day, '%Y-%m-%d') as iso_last,
-  strftime(d + 40, '%Y-%m-%d') as plus40, strftime(d - interval 2 month, '%Y-%m-%d') as less2m, datediff('day', d, date '2001-12-31') as to_end, datesub('month', d, date '2001-12-15') as months,
+  strftime(d + 40, '%Y-%m-%d') as plus40, strftime(d - interval 2 month, '%Y-%m-%d') as less2m, datediff('day', d, date '2001-12-31')::int as to_end, datesub('month', d, date '2001-12-15')::int as months,
   strftime((d + case when isodow(d) = 3 then 7 else (10 - cast(isodow(d) as int)) % 7 end)::date, '%Y-%m-%d') as next_wed,
   strftime((d - ((cast(isodow(d) as int) + 1) % 7))::date, '%Y-%m-%d') as last_sat, strftime({_LS.format('d')}, '%Y-%m-%d') as month_sat,
   strftime(case when {_LS.format('d')} <= d then {_LS.format('d')} else {_LS.format('(d - interval 1 month)::date')} end, '%Y-%m-%d') as past_sat from d
@@ -470,7 +470,7 @@ def ks_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = [-1000.0 + 500 * i for i in range(24)]
 
 
-@query(f"select unnest({_GRID}) as x, unnest([{', '.join(f'round(avg(exp(-(({g} - c_acctbal) * ({g} - c_acctbal)) / (2 * 400.0 * 400.0))) / (400.0 * sqrt(6.283185307179586)), 12)' for g in _GRID)}]) as pdf from customer")
+@query(f"select unnest({_GRID})::double as x, unnest([{', '.join(f'round(avg(exp(-(({g} - c_acctbal) * ({g} - c_acctbal)) / (2 * 400.0 * 400.0))) / (400.0 * sqrt(6.283185307179586)), 12)' for g in _GRID)}]) as pdf from customer")
 def kde_fixed_bw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel density on a grid."""
     return density.kde(table(spark, sf_dir, "customer"), "c_acctbal", _GRID, 400.0).select("x", F.round("pdf", 12).alias("pdf"))
@@ -479,7 +479,7 @@ def kde_fixed_bw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
-@query(f"select unnest({_QS}) as q, unnest([{', '.join(f'round(quantile_cont(o_totalprice, {q}), 4)' for q in _QS)}]) as x from orders")
+@query(f"select unnest({_QS})::double as q, unnest([{', '.join(f'round(quantile_cont(o_totalprice, {q}), 4)' for q in _QS)}]) as x from orders")
 def sim_ecdf_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.sim_ecdf(table(spark, sf_dir, "orders"), "o_totalprice", _QS).select("q", F.round("x", 4).alias("x"))
 
