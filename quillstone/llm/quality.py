@@ -77,7 +77,7 @@ def split_text(text: Column) -> Column:
     """The text (null as empty) with its lines that are not blank and their words in lower case."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     # rows of HTML tables are lines
-    lines = F.filter(F.split(F.regexp_replace(t, r"(?i)</(?:tr|li|p|div|h\d)>|<br\s*/?>", "\n"), r"\R"), lambda x: F.trim(x).rlike(r"\S"))
+    lines = F.filter(F.split(F.regexp_replace(t, r"(?i)</(?:tr|li|p|div|h\d)>|<br\s*/?>", "\n"), r"\R"), lambda x: x.rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]"))
     return F.struct(t.alias("text"), F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)).alias("words"))).alias("lines"))
 
 
@@ -86,7 +86,7 @@ def text_statistics(parts: Column) -> Column:
     t, split = parts["text"], parts["lines"]
     facts = F.transform(split, lambda x: line_facts(x["line"], x["words"]))
     zero = F.lit(0).cast("long")
-    names = ("n", "words", "common", "letters", "cjk", "kana", "odd", "ended", "listed", "celled", "paired", "brief", "prose", "lines")
+    names = ("n", "words", "common", "letters", "cjk", "kana", "odd", "ended", "listed", "celled", "paired", "brief", "prose", "full", "lines")
 
     def kind(x: Column) -> dict[str, Column]:
         japanese = x["cjk"] >= 0.3 * x["n"]
@@ -98,7 +98,7 @@ def text_statistics(parts: Column) -> Column:
         listed = (x["bullet"] | strung) & ~celled
         paired = x["pair"] & ~celled & ~listed & ~(wordy & x["ended"]) & (x["n"] < 60)
         brief = ~x["ended"] & ~celled & ~listed & ~paired & F.when(japanese, x["n"] <= 14).otherwise((x["words"] <= 5) & (x["n"] <= 45))
-        return {"listed": listed, "celled": celled, "paired": paired, "brief": brief, "prose": wordy & ~celled & ~listed & ~paired}
+        return {"listed": listed, "celled": celled, "paired": paired, "brief": brief, "prose": wordy & ~celled & ~listed & ~paired, "full": wordy & ~celled & ~listed & ~paired & ~brief}
 
     def add(acc: Column, x: Column) -> Column:
         k = kind(x)
@@ -126,7 +126,7 @@ def text_statistics(parts: Column) -> Column:
             div(s["cjk"], s["letters"]).alias("cjk_share"), div(s["kana"], s["cjk"]).alias("kana_share"),
             div(s["listed"], s["n"]).alias("list_share"), div(s["celled"], s["n"]).alias("cell_share"),
             div(s["paired"], s["n"]).alias("pair_share"), div(s["brief"], s["n"]).alias("brief_share"),
-            div(s["prose"], s["n"]).alias("prose_share"),
+            div(F.when(s["lines"] <= 2, s["prose"]).otherwise(s["full"]), s["n"]).alias("prose_share"),
             div(s["odd"], s["words"]).alias("odd_word_share"),
             div(repeated, size).alias("repeated_share"),
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
@@ -146,7 +146,7 @@ def labellers(s: Column) -> list[Labeller]:
     """The labelling functions on a struct of statistics."""
     g = lambda n: s[n]
     japanese = g("cjk_share") > 0.3
-    dull = (g("n_words") >= 8) & (g("n_distinct_words") <= F.least(F.lit(40), 0.3 * g("n_words")))
+    dull = (g("n_words") >= 8) & (g("n_distinct_words") <= F.least(F.lit(20), F.greatest(F.lit(2.0), 0.12 * g("n_words"))))
     # the larger part of the text is in lines of entries: what holds of its sentences decides nothing
     entries = (g("prose_share") < 0.5) & (g("list_share") + g("pair_share") + g("cell_share") + g("brief_share") >= 0.5) & (g("n_lines") >= 2)
     many = (g("n_lines") >= 3) & (g("prose_share") < 0.5)
@@ -157,7 +157,7 @@ def labellers(s: Column) -> list[Labeller]:
         Labeller("common_words", ((dull, "junk"), (~entries & ~japanese & (g("common_word_share") >= 0.22) & (g("n_words") >= 4), "prose"), (~entries & japanese & (g("kana_share") >= 0.3), "prose"), (~japanese & (g("common_word_share") < 0.08) & (g("n_words") >= 5) & (g("list_share") + g("pair_share") + g("cell_share") + g("brief_share") < 0.5), "junk"))),
         Labeller("line_ends", ((~entries & (g("ended_line_share") >= 0.5), "prose"), (many & (g("ended_line_share") < 0.2) & (g("cell_share") >= 0.5), "table"), (many & (g("ended_line_share") < 0.2), "list"))),
         Labeller("symbols", (((g("symbol_ratio") >= 0.5), "junk"), ((g("symbol_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("symbol_ratio") >= 0.25) & (g("pair_share") + g("list_share") < 0.3), "junk"), (~entries & (g("symbol_ratio") < 0.06) & (g("n_words") >= 6), "prose"))),
-        Labeller("digits", (((g("digit_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("digit_ratio") >= 0.2) & (g("pair_share") < 0.3), "junk"), (~entries & (g("digit_ratio") < 0.03) & (g("n_words") >= 12) & (g("ended_line_share") > 0), "prose"))),
+        Labeller("digits", (((g("digit_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("digit_ratio") >= 0.2) & (g("pair_share") < 0.3) & (g("prose_share") < 0.5), "junk"), (~entries & (g("digit_ratio") < 0.03) & (g("n_words") >= 12) & (g("ended_line_share") > 0), "prose"))),
         Labeller("list_lines", ((g("list_share") >= 0.5, "list"),)),
         Labeller("pair_lines", ((g("pair_share") >= 0.5, "list"),)),
         Labeller("cells", ((g("cell_share") >= 0.5, "table"),)),
