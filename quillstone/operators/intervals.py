@@ -8,8 +8,9 @@ streaming operator in ``quillstone.streaming.intervals`` both feed it.
 So that one entity with a third of all rows does not land in one task, state is keyed by
 (entity, time block): an interval is cut at the block borders it crosses, every block keeps its
 own map, and only the first and last piece of a block is looked at again when blocks are joined.
-The number of rows of that second step per entity is bounded by the number of blocks, not by the
-number of its intervals.
+Before the shuffle every task merges what it has read into such maps (a union of unions is the
+union), so however often a hot entity covers a time, few rows of it move. The number of rows of the
+second step per entity is bounded by the number of blocks, not by the number of its intervals.
 """
 
 from __future__ import annotations
@@ -79,7 +80,41 @@ def _block_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
 
 
-def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, block_days: int = 366) -> DataFrame:
+#: Intervals that a task holds before it hands its maps on.
+HELD = 200_000
+
+
+def _partial_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, b, s, e) in any order → disjoint pieces of each (k, b) of this task, for less to shuffle."""
+    held: dict[tuple, IntervalMap] = {}
+    rows, schema = 0, None
+
+    def out() -> pa.RecordBatch:
+        cols: tuple[list, list, list, list] = ([], [], [], [])
+        for (k, b), m in held.items():
+            cols[0].extend([k] * len(m.starts))
+            cols[1].extend([b] * len(m.starts))
+            cols[2].extend(m.starts)
+            cols[3].extend(m.ends)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+
+    for batch in batches:
+        schema = batch.schema
+        for k, b, s, e in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            m = held.get((k, b))
+            if m is None:
+                m = held[k, b] = IntervalMap()
+            m.insert(s, e)
+        rows += batch.num_rows
+        if rows >= HELD:
+            yield out()
+            rows = 0
+    if held:
+        yield out()
+
+
+def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, block_days: int = 64) -> DataFrame:
     """Rows ``entity, seg_kind ('period' | 'gap'), ds_from, ds_to`` (timestamps to the second).
 
     Times are truncated to the second; an interval needs an entity, both times and end > start,
@@ -96,7 +131,8 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, block_day
         .withColumn("b", F.explode(F.sequence(F.expr(f"s div {width} - if(s < 0 and s % {width} != 0, 1, 0)"), F.expr(f"(e - 1) div {width} - if(e - 1 < 0 and (e - 1) % {width} != 0, 1, 0)"))))
         .select("k", "b", F.greatest("s", F.col("b") * width).alias("s"), F.least("e", (F.col("b") + 1) * width).alias("e"))
     )
-    pieces = cut.repartition("k", "b").sortWithinPartitions("k", "b").mapInArrow(_block_maps, f"k {kind}, b long, s long, e long")
+    schema = f"k {kind}, b long, s long, e long"
+    pieces = cut.mapInArrow(_partial_maps, schema).repartition("k", "b").sortWithinPartitions("k", "b").mapInArrow(_block_maps, schema)
 
     # A block's pieces are folded into one row: inner pieces are final, the outer two are joined over blocks.
     # The list of a block is bounded by its seconds; it has as many entries as the block has periods.
