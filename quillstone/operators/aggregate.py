@@ -125,3 +125,16 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], col: str) ->
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     c = F.col(col)
     return df.withColumns({f"{col}_lag": F.lag(c).over(w), f"{col}_lead": F.lead(c).over(w), f"{col}_diff": c - F.lag(c).over(w), f"{col}_cumsum": F.sum(c).over(upto), f"{col}_cummax": F.max(c).over(upto), f"{col}_cummin": F.min(c).over(upto)})
+
+
+def regression(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by, slope, intercept, r2, n, x_min, x_max``: the line of a scatter plot, from one mergeable aggregate."""
+    a, b = no_nan(x), no_nan(y)
+    return df.groupBy(*by).agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"), F.regr_count(b, a).alias("n"), F.min(a).alias("x_min"), F.max(a).alias("x_max"))
+
+
+def column_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows only in new, rows only in old, distinct rows in both), with repeats counted in the first two."""
+    cols = [c for c in old.columns if c in new.columns]
+    a, b = old.select(*cols), new.select(*cols)
+    return b.exceptAll(a), a.exceptAll(b), a.intersect(b)

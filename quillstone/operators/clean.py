@@ -25,9 +25,15 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def iqr_bounds(c: str | Column, coef: float = 3.0, q_lwr: float = 0.25, q_upr: float = 0.75) -> Column:
-    """Aggregate: struct(upr, lwr) at ``coef`` interquartile ranges beyond the quartiles (exact, interpolated)."""
-    q = F.percentile(no_nan(c), F.array(F.lit(min(q_lwr, q_upr)), F.lit(max(q_lwr, q_upr))))
+def iqr_bounds(c: str | Column, coef: float = 3.0, q_lwr: float = 0.25, q_upr: float = 0.75, accuracy: int | None = None) -> Column:
+    """Aggregate: struct(upr, lwr) at ``coef`` interquartile ranges beyond the quartiles.
+
+    Exact and interpolated; this holds the distinct values of a group in memory. For columns with
+    very many of them in one group give ``accuracy``: mergeable approximate quantiles of rank error
+    1 / accuracy.
+    """
+    at = sorted((q_lwr, q_upr))
+    q = F.percentile_approx(no_nan(c), at, accuracy) if accuracy else F.percentile(no_nan(c), F.array(*[F.lit(p) for p in at]))
     iqr = q[1] - q[0]
     return F.struct((q[1] + coef * iqr).alias("upr"), (q[0] - coef * iqr).alias("lwr"))
 
@@ -39,18 +45,19 @@ def median_band(c: str | Column, coef: float = 3.0) -> Column:
     return F.struct((m + coef * s).alias("upr"), (m - coef * s).alias("lwr"))
 
 
-def trim_df(df: DataFrame, cols: Sequence[str] | None = None, rge: float = 1.5, qtiles: tuple[float, float] = (0.25, 0.75), upr: bool = True, lwr: bool = True, by: Sequence[str] = ()) -> DataFrame:
+def trim_df(df: DataFrame, cols: Sequence[str] | None = None, rge: float = 1.5, qtiles: tuple[float, float] = (0.25, 0.75), upr: bool = True, lwr: bool = True, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """``df`` without rows that lie outside the IQR band in any chosen column.
 
     Bounds are kept; null and NaN never trim; a column without a range (all null) trims nothing.
-    All bounds come from one aggregate. With ``by`` they are taken per group.
+    All bounds come from one aggregate (see ``iqr_bounds`` for ``accuracy``). With ``by`` they are
+    taken per group.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
     names = {c: f"_b{i}" for i, c in enumerate(cols)}
     lo, hi = min(qtiles), max(qtiles)
-    bounds = df.groupBy(*by).agg(*[iqr_bounds(c, rge, lo, hi).alias(n) for c, n in names.items()])
+    bounds = df.groupBy(*by).agg(*[iqr_bounds(c, rge, lo, hi, accuracy).alias(n) for c, n in names.items()])
     both = df.join(broadcast_if_small(bounds), list(by)) if by else df.crossJoin(F.broadcast(bounds))  # without groups one row
     out = F.lit(False)
     for c, n in names.items():

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from quillstone.functions import dates, metrics, transforms
 from quillstone.operators import aggregate, bins, clean, generate, impute, outliers, smooth, windows
 from quillstone.session import table
+from quillstone.sources import files
 from quillstone.stats import density, mixtures, qfits
 from quillstone.streaming import intervals as stream
 
@@ -623,3 +624,41 @@ select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as sess_start, count(*) a
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stream.sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"])
     return out.select("user_id", F.date_format("sess_start", "yyyy-MM-dd HH:mm:ss").alias("sess_start"), "n")
+
+
+@query("select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept, round(regr_r2(l_extendedprice, l_quantity), 8) as r2, count(*) as n from lineitem group by 1")
+def price_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regression line per group."""
+    df = aggregate.regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return df.select("l_returnflag", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 8).alias("r2"), "n")
+
+
+@query("select c_nationkey as k, 'both' as side from customer intersect select s_nationkey, 'both' from supplier union all (select c_nationkey, 'only_c' from (select distinct c_nationkey from customer) except all select s_nationkey, 'only_c' from (select distinct s_nationkey from supplier))")
+def nation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set difference and intersection of keys."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).distinct()
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
+    only_c, _, both = aggregate.column_changes(s, c)
+    return both.select("k", F.lit("both").alias("side")).unionByName(only_c.select("k", F.lit("only_c").alias("side")))
+
+
+@query("select i, round(tick0, 6) as tick from (select unnest([0, 1, 2, 3, 4])::int as i, unnest([min(o_totalprice), quantile_cont(o_totalprice, 0.25), quantile_cont(o_totalprice, 0.5), quantile_cont(o_totalprice, 0.75), max(o_totalprice)]) as tick0 from orders)")
+def axis_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantile ticks of a plot's axis."""
+    return files.plot_ticks(table(spark, sf_dir, "orders"), "o_totalprice").select("i", F.round("tick", 6).alias("tick"))
+
+
+@query("select id_agent, id_ticket, round(sum(case when half = 1 then secs end), 4) as secs_1, round(sum(case when half = 2 then secs end), 4) as secs_2, count(*) filter (half = 1) as cnt_1, count(*) filter (half = 2) as cnt_2 from (select user_id::varchar as id_agent, event_type as id_ticket, value as secs, 1 + (event_id % 2)::int as half from events) group by 1, 2 having count(*) filter (half = 1) > 0 and count(*) filter (half = 2) > 0")
+def ticket_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of ticket sessions side by side."""
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id_agent"), F.col("ts").cast("timestamp").alias("ts_session_start"), F.col("event_type").alias("id_ticket"), F.col("value").alias("seconds_in_ticket"), "event_id")
+    out = files.reconcile_sessions(ev.where("event_id % 2 = 0").drop("event_id"), ev.where("event_id % 2 = 1").drop("event_id"))
+    return out.select("id_agent", "id_ticket", F.round("seconds_in_ticket_1", 4).alias("secs_1"), F.round("seconds_in_ticket_2", 4).alias("secs_2"), F.col("hbat_cnt_1").alias("cnt_1"), F.col("hbat_cnt_2").alias("cnt_2"))
+
+
+@query("select case when p_type like '%STEEL%' then 'nan' else p_type end as p_type, p_size::double as p_size, p_size % 2 = 1 as odd, p_partkey::varchar as p_partkey from part")
+def role_typed_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-string rows brought into roles."""
+    df = table(spark, sf_dir, "part")
+    raw = df.select(F.col("p_partkey").cast("string"), F.when(F.col("p_type").contains("STEEL"), "N/A").otherwise(F.col("p_type")).alias("p_type"), F.col("p_size").cast("string"), (F.col("p_size") % 2).cast("string").alias("odd"))
+    return files.typed(raw, num_cols=["p_size"], b_cols=["odd"], cat_cols=["p_type"], str_cols=["p_partkey"])

@@ -235,3 +235,26 @@ def with_ks_p(df: DataFrame) -> DataFrame:
         return pd.Series([ks_p_value(x, n, m) if n and m else None for x, n, m in zip(d, a, b)], dtype="float64")
 
     return df.withColumn("p_value", p("d", "n1", "n2"))
+
+
+def split_sample(df: DataFrame, col: str, key: str, event: str | None = None, samples: int | None = None, min_mass: float = 0.05, seed: int = 0) -> tuple[DataFrame, dict[float, float]]:
+    """(positive values ``x`` without point masses, the masses {value: probability}) of a sample to be fitted.
+
+    ``samples``: about so many rows, taken by the hash of ``key``, when there are more than twice as
+    many. With ``event`` (false: censored) the values are drawn from the survival curve, whose mass at
+    0 joins the masses.
+    """
+    from quillstone.operators.aggregate import point_masses, update_mass
+
+    v = no_nan(col)
+    rows = df.where(v.isNotNull())
+    if samples is not None:
+        n = rows.count()
+        if n > 2 * samples:
+            rows = rows.where(hash_uniform(seed, F.col(key)) < samples / n)
+    masses = {r["value"]: r["mass"] for r in point_masses(rows, col, min_mass).collect()}  # fewer than 1 / min_mass rows
+    rest = rows.where(~v.isin(*masses)) if masses else rows
+    if event is None:
+        return rest.select(v.alias("x")).where("x > 0"), masses
+    draws, m0 = survival_draws(rest, col, event, rest.count(), seed)
+    return draws.select("x").where("x > 0"), update_mass(masses, 0.0, m0) if m0 > 0 else masses

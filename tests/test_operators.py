@@ -216,3 +216,20 @@ def test_series_is_reproducible_and_centred(spark):
     assert {r["y"] for r in flat.collect()} == {0.0}
     p = spark.range(20_000).select(generate.poisson(F.lit(3.0), generate.hash_uniform(5, F.col("id"))).alias("k")).agg(F.avg("k"), F.variance("k")).first()
     assert p[0] == pytest.approx(3, abs=0.06) and p[1] == pytest.approx(3, abs=0.15) and not math.isnan(p[0])
+
+
+def test_map_args(spark):
+    from quillstone.operators.parallel import map_args
+
+    out = map_args(spark, lambda a, b: {"s": a + b} if b else None, [(1, 2), (3, 0), (5, 6)], "s long")
+    assert vals(out, "s") == [11, 3]
+    assert map_args(spark, lambda a: {"s": a}, [], "s long").count() == 0
+
+
+def test_regression_and_changes(spark):
+    df = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0), (3.0, None), (NAN, 1.0)], "x double, y double")
+    r = aggregate.regression(df, "x", "y").first()
+    assert (r["slope"], r["intercept"], r["n"]) == (pytest.approx(2), pytest.approx(1), 2)
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (3,)], "k int")
+    new, gone, both = aggregate.column_changes(a, b)
+    assert (vals(new, "k"), vals(gone, "k"), vals(both, "k")) == ([3], [1, 2], [1])

@@ -195,3 +195,14 @@ def test_fit_groups_of_any_size(spark):
     for most in (100, 100_000):
         got = mixtures.fit_groups(df, ["g"], "x", lambda v: mixtures.em(v, 1), max_rows=most).collect()
         assert len(got) == 2 and all(r["n"] == 3000 and r["mean"] == pytest.approx(5, rel=0.08) for r in got)
+
+
+def test_split_sample(spark):
+    rows = [(i, 0.0 if i < 300 else float(1 + i % 700), i % 5 != 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, x double, ev boolean")
+    cont, masses = density.split_sample(df, "x", "id")
+    assert masses == {0.0: 0.15} and cont.count() == 1700
+    few, _ = density.split_sample(df, "x", "id", samples=200)
+    assert 100 < few.count() < 260
+    drawn, m = density.split_sample(df, "x", "id", event="ev")
+    assert drawn.count() > 1000 and m[0.0] >= 0.15
