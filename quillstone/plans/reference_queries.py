@@ -653,7 +653,7 @@ def ticket_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources of ticket sessions side by side."""
     ev = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id_agent"), F.col("ts").cast("timestamp").alias("ts_session_start"), F.col("event_type").alias("id_ticket"), F.col("value").alias("seconds_in_ticket"), "event_id")
     out = files.reconcile_sessions(ev.where("event_id % 2 = 0").drop("event_id"), ev.where("event_id % 2 = 1").drop("event_id"))
-    return out.select("id_agent", "id_ticket", F.round("seconds_in_ticket_1", 4).alias("secs_1"), F.round("seconds_in_ticket_2", 4).alias("secs_2"), F.col("hbat_cnt_1").alias("cnt_1"), F.col("hbat_cnt_2").alias("cnt_2"))
+    return out.select("id_agent", "id_ticket", F.round("seconds_in_ticket_1", 4).alias("secs_1"), F.round("seconds_in_ticket_2", 4).alias("secs_2"), F.col("n_sessions_1").alias("cnt_1"), F.col("n_sessions_2").alias("cnt_2"))
 
 
 @query("select case when p_type like '%STEEL%' then 'nan' else p_type end as p_type, p_size::double as p_size, p_size % 2 = 1 as odd, p_partkey::varchar as p_partkey from part")

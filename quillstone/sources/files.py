@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 log = logging.getLogger("quillstone")
 
 # Tokens read as null. The bare token NA is data.
-NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "N/A", "NULL", "NaN", "n/a", "nan", "null")
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "#1.#IND", "1.#QNAN", "N/A", "NULL", "NaN", "n/a", "nan", "null", "undefined", "unknown")
 TRUE, FALSE = ("1", "1.0", "True", "true"), ("0", "0.0", "False", "false")
 
 
@@ -178,7 +178,7 @@ def session_summary(df: DataFrame) -> DataFrame:
 
 def session_groups(df: DataFrame) -> DataFrame:
     """Per agent and ticket: seconds, first and last start, count."""
-    return df.groupBy("id_agent", "id_ticket").agg(F.sum("seconds_in_ticket").alias("seconds_in_ticket"), F.min("ts_session_start").alias("ts_start"), F.max("ts_session_start").alias("ts_end"), F.count(F.lit(1)).alias("hbat_cnt"))
+    return df.groupBy("id_agent", "id_ticket").agg(F.sum("seconds_in_ticket").alias("seconds_in_ticket"), F.min("ts_session_start").alias("ts_start"), F.max("ts_session_start").alias("ts_end"), F.count(F.lit(1)).alias("n_sessions"))
 
 
 def reconcile_sessions(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def reconcile_sessions(a: DataFrame, b: DataFrame) -> DataFrame:
     diff = lambda c: F.unix_timestamp(f"{c}_2") - F.unix_timestamp(f"{c}_1")
     return j.withColumns({
         "secs_ratio": F.try_divide(F.col("seconds_in_ticket_2"), F.col("seconds_in_ticket_1")),
-        "cnt_ratio": F.try_divide(F.col("hbat_cnt_2").cast("double"), F.col("hbat_cnt_1").cast("double")),
+        "cnt_ratio": F.try_divide(F.col("n_sessions_2").cast("double"), F.col("n_sessions_1").cast("double")),
         "start_diff": diff("ts_start"), "end_diff": diff("ts_end"),
         "start_diff_in_day": F.pmod(diff("ts_start"), F.lit(86400)), "end_diff_in_day": F.pmod(diff("ts_end"), F.lit(86400)),
     })
@@ -199,7 +199,7 @@ def plot_ticks(df: DataFrame, col: str) -> DataFrame:
     """``i, tick``: 5, 3, 2 or 1 quantile ticks by the number of values, for an axis."""
     x = F.col(col).cast("double")
     stat = df.agg(F.count(x).alias("n"), *[F.percentile(x, F.array(*[F.lit(q) for q in qs])).alias(f"q{len(qs)}") for qs in ([0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 0.5, 1.0], [0.0, 1.0], [0.5])])
-    ticks = F.when(F.col("n") >= 5, F.col("q5")).when(F.col("n") >= 3, F.col("q3")).when(F.col("n") == 2, F.col("q2")).otherwise(F.col("q1"))
+    ticks = F.when(F.col("n") > 5, F.col("q5")).when(F.col("n") >= 3, F.col("q3")).when(F.col("n") == 2, F.col("q2")).otherwise(F.col("q1"))
     return stat.select(F.posexplode(ticks).alias("i", "tick")).where("tick is not null")
 
 

@@ -12,8 +12,11 @@ import numpy as np
 
 from quillstone.functions.special import gamma_ppf, gammainc, golden_section, nelder_mead, norm_cdf, norm_ppf
 
-SHAPES = {"expon": 0, "gamma": 1, "lognorm": 1, "weibull_min": 1, "pareto": 1, "norm": 0, "uniform": 0, "logistic": 0, "gumbel_r": 0, "genextreme": 1, "fisk": 1, "rayleigh": 0, "invgauss": 1}
-POSITIVE = {"expon", "gamma", "lognorm", "weibull_min", "pareto", "fisk", "rayleigh", "invgauss"}
+SHAPES = {
+    "expon": 0, "gamma": 1, "lognorm": 1, "weibull_min": 1, "pareto": 1, "norm": 0, "uniform": 0, "logistic": 0, "gumbel_r": 0, "genextreme": 1, "fisk": 1, "rayleigh": 0, "invgauss": 1,
+    "fatiguelife": 1, "genpareto": 1, "chi": 1, "chi2": 1, "invgamma": 1, "invweibull": 1, "loglaplace": 1, "lomax": 1, "powerlaw": 1, "maxwell": 0, "halfnorm": 0, "laplace": 0, "cauchy": 0, "gumbel_l": 0,
+}
+POSITIVE = {"expon", "gamma", "lognorm", "weibull_min", "pareto", "fisk", "rayleigh", "invgauss", "fatiguelife", "genpareto", "chi", "chi2", "invgamma", "invweibull", "loglaplace", "lomax", "powerlaw", "maxwell", "halfnorm"}
 
 
 def cdf(name: str, x, shapes: Sequence[float] = (), scale: float = 1.0, loc: float = 0.0) -> np.ndarray:
@@ -51,6 +54,35 @@ def cdf(name: str, x, shapes: Sequence[float] = (), scale: float = 1.0, loc: flo
         if name == "invgauss":
             y = np.where(z > 0, z, 1)
             return np.where(z > 0, norm_cdf((y / s - 1) / np.sqrt(y)) + np.exp(2 / s) * norm_cdf(-(y / s + 1) / np.sqrt(y)), 0.0)
+        y = np.where(z > 0, z, 1.0)
+        if name == "fatiguelife":
+            return np.where(z > 0, norm_cdf((np.sqrt(y) - 1 / np.sqrt(y)) / s), 0.0)
+        if name == "genpareto":
+            return 1 - np.maximum(1 + s * zp, 0) ** (-1 / s) if abs(s) > 1e-12 else -np.expm1(-zp)
+        if name == "chi":
+            return gammainc(s / 2, zp * zp / 2)
+        if name == "chi2":
+            return gammainc(s / 2, zp / 2)
+        if name == "maxwell":
+            return gammainc(1.5, zp * zp / 2)
+        if name == "invgamma":
+            return np.where(z > 0, 1 - gammainc(s, 1 / y), 0.0)
+        if name == "invweibull":
+            return np.where(z > 0, np.exp(-(y**-s)), 0.0)
+        if name == "loglaplace":
+            return np.where(z <= 0, 0.0, np.where(z < 1, 0.5 * y**s, 1 - 0.5 * y**-s))
+        if name == "lomax":
+            return 1 - (1 + zp) ** -s
+        if name == "powerlaw":
+            return np.clip(zp, 0, 1) ** s
+        if name == "halfnorm":
+            return 2 * norm_cdf(zp) - 1
+        if name == "laplace":
+            return np.where(z < 0, 0.5 * np.exp(np.minimum(z, 0)), 1 - 0.5 * np.exp(-zp))
+        if name == "cauchy":
+            return 0.5 + np.arctan(z) / math.pi
+        if name == "gumbel_l":
+            return -np.expm1(-np.exp(z))
     raise ValueError(f"unknown family {name}")
 
 
@@ -84,6 +116,35 @@ def ppf(name: str, p, shapes: Sequence[float] = (), scale: float = 1.0, loc: flo
             z = np.sqrt(-2 * np.log1p(-p))
         elif name == "invgauss":
             z = np.array([_bisect(lambda x, q=q: float(cdf(name, x, shapes)) - q) for q in np.atleast_1d(p)]).reshape(np.shape(p))
+        elif name == "fatiguelife":
+            t = s * norm_ppf(p)
+            z = ((t + np.sqrt(t * t + 4)) / 2) ** 2
+        elif name == "genpareto":
+            z = ((1 - p) ** -s - 1) / s if abs(s) > 1e-12 else -np.log1p(-p)
+        elif name == "chi":
+            z = np.sqrt(2 * gamma_ppf(p, s / 2)).reshape(np.shape(p))
+        elif name == "chi2":
+            z = 2 * gamma_ppf(p, s / 2).reshape(np.shape(p))
+        elif name == "maxwell":
+            z = np.sqrt(2 * gamma_ppf(p, 1.5)).reshape(np.shape(p))
+        elif name == "invgamma":
+            z = 1 / gamma_ppf(1 - p, s).reshape(np.shape(p))
+        elif name == "invweibull":
+            z = (-np.log(p)) ** (-1 / s)
+        elif name == "loglaplace":
+            z = np.where(p < 0.5, (2 * p) ** (1 / s), (2 * (1 - p)) ** (-1 / s))
+        elif name == "lomax":
+            z = (1 - p) ** (-1 / s) - 1
+        elif name == "powerlaw":
+            z = p ** (1 / s)
+        elif name == "halfnorm":
+            z = norm_ppf((1 + p) / 2)
+        elif name == "laplace":
+            z = np.where(p < 0.5, np.log(2 * p), -np.log(2 * (1 - p)))
+        elif name == "cauchy":
+            z = np.tan(math.pi * (p - 0.5))
+        elif name == "gumbel_l":
+            z = np.log(-np.log1p(-p))
         else:
             raise ValueError(f"unknown family {name}")
     return loc + scale * z
