@@ -110,5 +110,14 @@ with r as (select distinct fit_id, ts_key, q10, q50, q90 from q_fits),
 u as (select ts_key, 'q10' as c, q10 as v from r union all select ts_key, 'q50', q50 from r union all select ts_key, 'q90', q90 from r),
 f as (select * from u where v is not null and isfinite(v))
 select ts_key, c as column_name, unnest({_P})::double as p, unnest(quantile_disc(v, {_P})) + 0.0 as value, count(*) as n from f group by 1, 2
+""",
+    # a cut value is the lower end of its interval: 9 bits after the leading one, in the order of the values
+    "p1_combined": f"""
+with r as (select distinct fit_id, cast(ds as date) as d, ts_key, q10, q50, q90 from q_fits),
+u as (select ts_key, 'q10' as c, q10 as v from r union all select ts_key, 'q50', q50 from r union all select ts_key, 'q90', q90 from r),
+f as (select * from u where v is not null and isfinite(v)),
+p as (select ts_key, c, unnest({_P})::double as p, unnest(quantile_disc(v, {_P})) + 0.0 as v, count(*) as n from f group by 1, 2),
+s as (select *, pow(2, floor(log2(abs(v))) - 9) as w from p)
+select ts_key, c as column_name, p, case when v = 0 then 0.0 when v > 0 then floor(v / w) * w else -(floor(-v / w) * w + w - w / pow(2, 43)) end as value, n from s
 """,
 }
