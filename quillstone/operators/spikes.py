@@ -190,9 +190,14 @@ def implausible_readings(df: DataFrame, key: str, series: str, time: str, value:
         c(value).cast("double").alias("y"), c(expected).cast("double").alias("e"), impossible(c(value).cast("double"), c(unit), bounds).alias("bad"),
     )
     placed = F.col("s").isNotNull() & F.col("t").isNotNull()
-    unplaced = rows.where(~placed & F.col("bad")).select("k").distinct().select("k", F.lit("impossible").alias("fault"), F.lit(None).cast("double").alias("score"))
+    # one aggregate: which series are long, and whether any faulty reading has no series or time
+    stray = F.count_if(~placed & F.col("bad"))
+    known = F.when(placed, F.col("t"))
+    sizes = rows.groupBy("s").agg(F.count(known).alias("n"), F.min(known).alias("t0"), F.max(known).alias("t1"), stray.alias("stray"))
+    noted = cut(sizes.where((F.col("n") > block_rows) | (F.col("stray") > 0)))
+    large = noted.where((F.col("n") > block_rows) & F.col("s").isNotNull()).drop("stray")
+    strays = rows.where(~placed & F.col("bad")) if not noted.where("stray > 0").isEmpty() else None
     rows = rows.where(placed)
-    large = cut(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where(F.col("n") > block_rows))
     if large.isEmpty():
         blocked = rows.withColumn("b", F.lit(0).cast("long")).withColumn("own", F.lit(True))
     else:
@@ -211,4 +216,7 @@ def implausible_readings(df: DataFrame, key: str, series: str, time: str, value:
         return out[(fault != "") & pdf.own.to_numpy(bool)]
 
     found = blocked.select("k", "s", "b", "t", "y", "e", "bad", "own").groupBy("s", "b").applyInPandas(judge, f"k {kind}, fault string, score double")
-    return found.withColumn("score", F.nanvl("score", F.lit(None))).unionByName(unplaced).withColumnRenamed("k", key)
+    found = found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    if strays is not None:
+        found = found.unionByName(strays.select("k").distinct().select("k", F.lit("impossible").alias("fault"), F.lit(None).cast("double").alias("score")))
+    return found.withColumnRenamed("k", key)

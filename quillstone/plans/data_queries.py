@@ -123,3 +123,12 @@ left join b1 on b1.agent_id = c.agent_id and b1.f = c.f left join b2 on b2.f = c
 where c.miss
 """,
 }
+
+_FIELDS = ("service_region", "language", "interaction_type", "tenure_days")
+SQL["p5_filled"] = f"""
+with fills as ({SQL['p5_found'].strip()}),
+r as (select distinct rec_id, ds, agent_id, service_region, language, interaction_type, tenure_days from imputer)
+select r.rec_id, r.ds, r.agent_id, {', '.join(f"coalesce({c}.fill_value, r.{c}) as {c}" for c in _FIELDS[:3])}, coalesce(try_cast(tenure_days.fill_value as double), r.tenure_days) as tenure_days,
+  {', '.join(f"{c}.rec_id is not null as {c}_filled" for c in _FIELDS)}
+from r {' '.join(f"left join (select * from fills where field_name = '{c}') {c} on {c}.rec_id = r.rec_id" for c in _FIELDS)}
+"""
