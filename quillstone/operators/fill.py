@@ -5,7 +5,8 @@ coarse. A missing cell takes the mode (or median) of the finest group with enoug
 of the next coarser one, at last of the whole table; the level that was used is stored.
 
 Scale: votes are counted per finest group with map-side combine before any shuffle by group, and
-coarser levels add up those counts, so a group with a third of all rows is a few rows by then.
+coarser levels add up those counts, so a group with a third of all rows is a few rows by then. The
+counts are kept in the shared checkpoint folder and read once per level.
 Only missing cells are joined to the statistics; the join is left to AQE (broadcast when the
 statistics prove small at run time, split when a key is skewed). The whole-table level has one
 row per field and is broadcast.
@@ -19,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import cut
+
 
 @dataclass
 class FillSpec:
@@ -61,9 +64,16 @@ def missing_fills(df: DataFrame, key: str, specs: Sequence[FillSpec], min_suppor
                 out.append(F.concat(*parts))
         return F.array(*out)
 
-    cell = F.explode(F.array(*[F.struct(F.lit(s.name).alias("f"), s.missing.alias("miss"), F.when(~s.missing, s.vote.cast("string")).alias("v"), keys(s).alias("ks"), s.context.cast("long").alias("ctx")) for s in specs]))
-    cells = df.select(F.col(key).alias("rid"), cell.alias("c")).select("rid", "c.*")
-    votes = cells.where(F.col("v").isNotNull()).groupBy("f", "ks", "v").agg(F.count(F.lit(1)).alias("n"))
+    # what a spec asks is a column first: its expressions are evaluated once per record
+    asked = df.select(
+        F.col(key).alias("rid"), *[s.missing.alias(f"m{i}") for i, s in enumerate(specs)], *[F.when(~s.missing, s.vote.cast("string")).alias(f"v{i}") for i, s in enumerate(specs)],
+        *[keys(s).alias(f"k{i}") for i, s in enumerate(specs)], *[s.context.cast("long").alias(f"c{i}") for i, s in enumerate(specs)],
+    )
+    vote = [F.struct(F.lit(s.name).alias("f"), F.col(f"v{i}").alias("v"), F.col(f"k{i}").alias("ks")) for i, s in enumerate(specs)]
+    votes = asked.select(F.explode(F.array(*vote)).alias("c")).select("c.*").where(F.col("v").isNotNull())
+    votes = cut(votes.groupBy("f", "ks", "v").agg(F.count(F.lit(1)).alias("n")))  # read for every level
+    gap = [F.when(F.col(f"m{i}"), F.struct(F.lit(s.name).alias("f"), F.col(f"k{i}").alias("ks"), F.col(f"c{i}").alias("ctx"))) for i, s in enumerate(specs)]
+    missing = asked.select("rid", F.explode(F.array_compact(F.array(*gap))).alias("c")).select("rid", "c.*")
     medians = [s.name for s in specs if s.stat == "median"]
 
     def winner(grouped: DataFrame, by: str) -> DataFrame:
@@ -74,7 +84,7 @@ def missing_fills(df: DataFrame, key: str, specs: Sequence[FillSpec], min_suppor
             best = F.when(F.first("f").isin(*medians), F.when(med == F.floor(med), med.cast("long").cast("string")).otherwise(med.cast("string"))).otherwise(best)
         return grouped.groupBy(by).agg(best.alias("val"), F.sum("n").alias("sup")).where(F.col("sup") >= min_support)
 
-    out = cells.where("miss").select("rid", "f", "ks", "ctx")
+    out = missing
     level, value, support = F.lit(-1), F.lit(None).cast("string"), F.lit(0).cast("long")
     picks = []
     for i in range(depth):
