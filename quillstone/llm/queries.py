@@ -41,9 +41,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = ref.select("field", "item", F.explode("bad_values").alias("name"))
     recs = table(spark, sf_dir, "imputer").select("rec_id", *fields).distinct()  # deliveries of a record are equal
     cells = recs.select("rec_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("entry")) for f in fields])).alias("c")).select("rec_id", "c.*")
-    cells = cells.where(~is_missing_text(F.col("entry")))
     good = items.select("field", F.col("name").alias("entry")).distinct()
-    free = cells.join(broadcast_if_small(good), ["field", "entry"], "left_anti")
+    # most cells are exactly a listed value; what is left is kept, as it is read twice
+    free = cut(cells.where("entry is not null").join(broadcast_if_small(good), ["field", "entry"], "left_anti")).where(~is_missing_text(F.col("entry")))
     out = setsim.map_to_list(free, items, other)
     return out.select("rec_id", F.col("field").alias("field_name"), F.coalesce(F.col("item"), F.lit(0)).cast("long").alias("ref_id"))
 
