@@ -41,11 +41,14 @@ KANA = r"\p{IsHiragana}"
 END_MARK = r"[.!?。！？…‽](?:[\"'»”’)\]\s]|\p{So})*$"
 BULLET = r"^\s*(?:[-–—*•·▪●◦✓✔☑✗+>]|\[[ xX]?\]|\(?\d{1,3}[.)]|[A-Za-z][.)]|#\d{1,3})\s+\S"
 PAIR = r"^\s*[\p{L} ]{1,20}\s*(?::|=|\.{3,})\s*\S"
-CELL = r"\||\t|(?<!&\w{2,6});(?=[^\s;])|,(?=[^\s,])|\s·\s| {3,}|<t[dh]"
-SEPARATOR = r"\s[/|·>•~–—-]\s|(?<!&\w{2,6});\s|,\s|、|・|\s#"
+# both look at a mark first, as most characters are none
+CELL = r"(?=[|\t;,·<]|   )(?:[|\t]|(?<!&\w{2,6});(?=[^\s;])|,(?=[^\s,])|·(?<=\s·)(?=\s)| {3,}|<t[dh])"
+SEPARATOR = r"(?=[/|·>•~–—\-;,、・#])(?:(?<=\s)[/|·>•~–—-](?=\s)|(?<!&\w{2,6});(?=\s)|,(?=\s)|[、・]|(?<=\s)#)"
 _CONSONANT = "[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]"
 ODD_WORD = rf"(?<!\p{{L}})(?:\p{{IsLatin}}{{26,}}|[bcdfghjklmnpqrstvwxz]{{2,}}|\p{{IsLatin}}*?(?:(?!sch){_CONSONANT}){{5,}}\p{{IsLatin}}*)(?!\p{{L}})"
 REPEATED = r"(\S)\1{9,}"
+#: Marks, letters and digits without a break, as in encoded data.
+UNBROKEN = r"[!-~]{30,}"
 
 
 def line_facts(line: Column, words: Column) -> Column:
@@ -111,7 +114,8 @@ def text_statistics(parts: Column) -> Column:
     size = F.length(t)
     digits = F.regexp_count(t, F.lit(r"\p{N}"))
     spaces = F.regexp_count(t, F.lit(r"[\s\p{Z}\p{C}]"))
-    repeated = F.aggregate(F.regexp_extract_all(t, F.lit(REPEATED), F.lit(0)), zero, lambda a, x: a + F.length(x))
+    length_of = lambda p: F.aggregate(F.regexp_extract_all(t, F.lit(p), F.lit(0)), zero, lambda a, x: a + F.length(x))
+    repeated, unbroken = length_of(REPEATED), length_of(UNBROKEN)
     words = F.flatten(F.transform(split, lambda x: x["words"]))
     div = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     return F.transform(
@@ -128,7 +132,7 @@ def text_statistics(parts: Column) -> Column:
             div(s["paired"], s["n"]).alias("pair_share"), div(s["brief"], s["n"]).alias("brief_share"),
             div(F.when(s["lines"] <= 2, s["prose"]).otherwise(s["full"]), s["n"]).alias("prose_share"),
             div(s["odd"], s["words"]).alias("odd_word_share"),
-            div(repeated, size).alias("repeated_share"),
+            div(repeated, size).alias("repeated_share"), div(unbroken, size).alias("unbroken_share"),
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         ),
     )[0]
@@ -156,7 +160,7 @@ def labellers(s: Column) -> list[Labeller]:
         Labeller("prose_lines", ((dull, "junk"), (g("prose_share") >= 0.5, "prose"), ((g("list_share") + g("pair_share") + g("cell_share") + g("brief_share") < 0.5) & ~phrase, "junk"))),
         Labeller("common_words", ((dull, "junk"), (~entries & ~japanese & (g("common_word_share") >= 0.22) & (g("n_words") >= 4), "prose"), (~entries & japanese & (g("kana_share") >= 0.3), "prose"), (~japanese & (g("common_word_share") < 0.08) & (g("n_words") >= 5) & (g("list_share") + g("pair_share") + g("cell_share") + g("brief_share") < 0.5), "junk"))),
         Labeller("line_ends", ((~entries & (g("ended_line_share") >= 0.5), "prose"), (many & (g("ended_line_share") < 0.2) & (g("cell_share") >= 0.5), "table"), (many & (g("ended_line_share") < 0.2), "list"))),
-        Labeller("symbols", (((g("symbol_ratio") >= 0.5), "junk"), ((g("symbol_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("symbol_ratio") >= 0.25) & (g("pair_share") + g("list_share") < 0.3), "junk"), (~entries & (g("symbol_ratio") < 0.06) & (g("n_words") >= 6), "prose"))),
+        Labeller("symbols", (((g("symbol_ratio") >= 0.5), "junk"), ((g("symbol_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("symbol_ratio") >= 0.25) & (g("pair_share") + g("list_share") < 0.3), "junk"), (~entries & (g("symbol_ratio") < 0.06) & (g("n_words") >= 6) & (g("unbroken_share") < 0.5), "prose"))),
         Labeller("digits", (((g("digit_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("digit_ratio") >= 0.2) & (g("pair_share") < 0.3) & (g("prose_share") < 0.5), "junk"), (~entries & (g("digit_ratio") < 0.03) & (g("n_words") >= 12) & (g("ended_line_share") > 0), "prose"))),
         Labeller("list_lines", ((g("list_share") >= 0.5, "list"),)),
         Labeller("pair_lines", ((g("pair_share") >= 0.5, "list"),)),
@@ -164,6 +168,7 @@ def labellers(s: Column) -> list[Labeller]:
         Labeller("brief_lines", (((g("brief_share") >= 0.5) & (g("n_lines") >= 4), "list"),)),
         Labeller("odd_words", (((g("odd_word_share") >= 0.5) & (g("n_words") >= 1), "junk"), ((~japanese) & (g("mean_word_length") >= 14), "junk"), ((~japanese) & (g("mean_word_length") < 2.5) & (g("n_words") >= 4), "junk"))),
         Labeller("repetition", ((g("repeated_share") >= 0.4, "junk"), (dull, "junk"))),
+        Labeller("unbroken", ((g("unbroken_share") >= 0.5, "junk"),)),
         Labeller("phrase", ((phrase & sound & (g("list_share") + g("cell_share") + g("pair_share") < 0.5), "prose"), (phrase & ~sound, "junk"), (g("n_words") == 0, "junk"))),
     ]
 
