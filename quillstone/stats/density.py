@@ -47,8 +47,8 @@ def bootstrap(df: DataFrame, cols: Sequence[str], key: str, sple_fraction: float
     """Rows ``col, mean, std, l_ci, h_ci`` of the means of resamples with replacement.
 
     Poisson bootstrap: a row occurs in a resample a Poisson(``sple_fraction``) number of times, drawn
-    from the hash of its key and the iteration. Each row computes its counts for all iterations and
-    adds to ``n_iters`` sums, so rows are neither copied nor shuffled.
+    from the hash of its key and the iteration. Draws are summed per iteration in each task, so only
+    ``n_iters`` sums of a task are shuffled.
     """
     import math
 
@@ -58,22 +58,15 @@ def bootstrap(df: DataFrame, cols: Sequence[str], key: str, sple_fraction: float
         total += p
         probs.append(total)
         p *= sple_fraction / (k + 1)
-    block = 50
-    out = []
-    for lo in range(0, n_iters, block):
-        its = range(lo, min(n_iters, lo + block))
-        u = {i: hash_uniform(seed, F.col(key), F.lit(i)) for i in its}
-        count = {i: sum(((u[i] > c).cast("int") for c in probs), F.lit(0)) for i in its}
-        aggs = []
-        for c in cols:
-            x = no_nan(c)
-            aggs.append(F.array(*[F.try_divide(F.sum(F.when(x.isNotNull(), x * count[i])), F.sum(F.when(x.isNotNull(), count[i])).cast("double")) for i in its]).alias(c))
-        out.append(df.agg(*aggs))
-    means = out[0]
-    for o in out[1:]:
-        means = means.unionByName(o)
+    u = hash_uniform(seed, F.col("_k"), F.col("_it"))
+    times = F.lit(0)
+    for c in probs:
+        times = times + (u > c).cast("int")
+    draws = df.select(F.col(key).alias("_k"), *[no_nan(c).alias(f"_x{i}") for i, c in enumerate(cols)], F.explode(F.sequence(F.lit(0), F.lit(n_iters - 1))).alias("_it")).withColumn("_n", times)
+    sums = [F.try_divide(F.sum(F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_x{i}") * F.col("_n"))), F.sum(F.when(F.col(f"_x{i}").isNotNull(), F.col("_n"))).cast("double")).alias(f"_m{i}") for i in range(len(cols))]
+    means = draws.groupBy("_it").agg(*sums)
     e = (1 - ci) / 2
-    parts = [means.select(F.lit(c).alias("col"), F.explode(c).alias("m")) for c in cols]
+    parts = [means.select(F.lit(c).alias("col"), F.col(f"_m{i}").alias("m")) for i, c in enumerate(cols)]
     long = parts[0]
     for q in parts[1:]:
         long = long.unionByName(q)
