@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import cut
+from quillstone.session import cut, spread
 
 TYPES = ("prose", "list", "table", "junk")
 
@@ -239,7 +239,7 @@ def _posterior(onehot: np.ndarray, log_pi: np.ndarray, log_theta: np.ndarray) ->
 
 def _voted(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, statistics ``s`` and the vote codes ``v``."""
-    parts = df.select(F.col(key).alias("key"), once(split_text(F.col(text))).alias("parts"))
+    parts = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", once(split_text(F.col("text"))).alias("parts"))
     base = parts.select("key", once(text_statistics(F.col("parts"))).alias("s"))
     return cut(base.select("key", "s", once(F.array(*vote_codes(F.col("s")))).alias("v")))
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import spread
+
 LONG = 20_000
 # The pattern always begins a piece at a single space between two characters that are no space, and
 # at a full-width mark after a letter or digit.
@@ -81,6 +83,7 @@ def _mapped(df: DataFrame, keep: Sequence[str], text: str, path: str | None, out
 
     names = [f"c{i}" for i in range(len(keep))]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).cast("string").alias("text"))
+    rows = spread(rows)
     schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
     done = rows.mapInArrow(run, f"{schema}, made {kind}")
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("made").alias(out))
