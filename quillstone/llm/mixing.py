@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.tokenizing import count_tokens
@@ -140,9 +140,7 @@ def mix_report(sizes: DataFrame, plan: list[dict], seed: int = 7) -> DataFrame:
         "source string, target_share double, max_repeats int, available_size long, at_cap boolean",
     )
     out = heads.join(F.broadcast(got), "source", "left").na.fill(0, ["size", "records", "most_copies"])  # one row per listed source
-    total = F.lit(float("nan")) if not plan else F.col("total")
-    sums = got.agg(F.sum("size").alias("total"))
-    out = out.crossJoin(F.broadcast(sums))  # one row
+    total = F.sum("size").over(Window.partitionBy(F.lit(0)))  # over the listed sources
     share = F.coalesce(F.try_divide(F.col("size").cast("double"), total.cast("double")), F.lit(0.0))
     return out.select(
         "source", "target_share", share.alias("share"), "max_repeats", "available_size", "size", "records", F.coalesce(F.try_divide(F.col("size").cast("double"), F.col("available_size").cast("double")), F.lit(0.0)).alias("mean_repeats"), "most_copies", "at_cap", (share < F.col("target_share") * 0.995).alias("short")

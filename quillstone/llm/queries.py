@@ -59,7 +59,7 @@ def _mix(spark: SparkSession, sf_dir: str, whole: bool = False):
     total = None
     if whole:
         names = targets.select(mixing.tidy_source(F.col("source")).alias("source")).distinct()
-        total = float(sizes.join(F.broadcast(names), "source").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+        total = float(sizes.join(broadcast_if_small(names), "source").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     return sizes, mixing.plan_mix(sizes, targets, total)
 
 
