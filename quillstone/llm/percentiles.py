@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import broadcast_if_small, cut
+from quillstone.session import cut, small
 
 BITS = 16
 #: Sign and exponent of a double.
@@ -86,7 +86,7 @@ def bisect_percentiles(values: DataFrame, percentiles: Sequence[float], bits: in
         values = values.withColumn("n", F.lit(1).cast("long"))
     values = values.withColumn("g", F.struct(F.col("g").isNull().alias("none"), F.col("g").alias("g")))
     values = values.select("g", "c", "key", "n")
-    active, done = None, 0
+    active, done, mark = None, 0, lambda df: df
     while done < bits:
         step = min(BITS, bits - done)
         sub = F.shiftright(F.col("key"), 64 - done - step)
@@ -94,7 +94,7 @@ def bisect_percentiles(values: DataFrame, percentiles: Sequence[float], bits: in
             counts = values.groupBy("g", "c", sub.alias("sub")).agg(F.sum("n").alias("n")).withColumn("at", F.lit(0).cast("long"))
         else:
             intervals = active.select("g", "c", "at").distinct()
-            inside = values.withColumn("at", F.shiftright(F.col("key"), 64 - done)).join(broadcast_if_small(intervals), ["g", "c", "at"])
+            inside = values.withColumn("at", F.shiftright(F.col("key"), 64 - done)).join(mark(intervals), ["g", "c", "at"])
             counts = inside.groupBy("g", "c", "at", sub.alias("sub")).agg(F.sum("n").alias("n"))
         # rows below each midpoint of an interval: at most 2**BITS of them
         order = Window.partitionBy("g", "c", "at").orderBy("sub")
@@ -105,10 +105,12 @@ def bisect_percentiles(values: DataFrame, percentiles: Sequence[float], bits: in
             hits = upto.withColumn("total", total).withColumn("t", F.explode(F.filter(ranks, lambda t: (t["rank"] > F.col("upto") - F.col("n")) & (t["rank"] <= F.col("upto")))))
             active = hits.select("g", "c", F.col("sub").alias("at"), F.col("t.p").alias("p"), (F.col("t.rank") - F.col("upto") + F.col("n")).alias("rank"), "total")
         else:
-            near = upto.join(broadcast_if_small(active), ["g", "c", "at"]).where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
+            near = upto.join(mark(active), ["g", "c", "at"]).where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
             active = near.select("g", "c", F.col("sub").alias("at"), "p", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "total")
         done += step
         active = cut(active)
+        # neither it nor its intervals are broadcast unless proven small
+        mark = F.broadcast if small(active) else (lambda df: df)
     return active.select(F.col("g.g").alias("g"), "c", "p", key_value(F.shiftleft(F.col("at"), 64 - done)).alias("value"), F.col("total").alias("n"))
 
 

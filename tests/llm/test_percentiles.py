@@ -88,6 +88,6 @@ def test_one_value_and_ties(spark):
 
 
 def test_shuffled_intervals_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(P, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(P, "small", lambda df: False)
     rows = sample(500)
     assert got(P.group_percentiles(frame(spark, rows), "grp", ["a", "b"], PS, "id")) == brute(rows)
