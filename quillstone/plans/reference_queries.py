@@ -531,23 +531,21 @@ def lognorm_qfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def em_expon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two exponentials per segment of balances."""
     df = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    return mixtures.fit_groups(df, ["c_mktsegment"], "c_acctbal", lambda x: mixtures.em(x, 2, "expon", max_iter=300))
+    return mixtures.fit_groups(df, ["c_mktsegment"], "c_acctbal", lambda x, n: mixtures.em(x, 2, "expon", max_iter=300, counts=n), weighted=True)
 
 
 @query()
 def hyper_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").where("value > 0")
-    return mixtures.fit_groups(df, ["event_type"], "value", lambda x: mixtures.hyper_exp(x, (1, 2), max_splits=2))
+    return mixtures.fit_groups(df, ["event_type"], "value", lambda x, n: mixtures.hyper_exp(x, (1, 2), max_splits=2, counts=n), weighted=True)
 
 
 @query()
 def quantile_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lognormal mixture through the quantiles of each segment."""
-    import numpy as np
-
     ps = [0.1, 0.25, 0.5, 0.75, 0.9]
     df = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    return mixtures.fit_groups(df, ["c_mktsegment"], "c_acctbal", lambda x: mixtures.quantile_mixture(dict(zip(ps, np.quantile(x, ps))), "lognorm", 1))
+    return mixtures.fit_groups(df, ["c_mktsegment"], "c_acctbal", lambda x, n: mixtures.quantile_mixture(dict(zip(ps, mixtures.quantiles(x, n, ps))), "lognorm", 1), weighted=True)
 
 
 @query()

@@ -1,8 +1,8 @@
 """Mixture models per series: EM, hyper-exponential, quantile fits, Prony sums, merged components.
 
 Models are fitted by numpy on one series each; ``fit_groups`` runs any of them per key by
-``applyInPandas``, so series are fitted in parallel. A series longer than ``max_rows`` is represented
-by 2,000 of its evenly spaced quantiles, computed by a mergeable aggregate beforehand.
+``applyInPandas``, so series are fitted in parallel. Rows are counted by value beforehand, in each task
+before the shuffle, and fits take the counts as weights: every row counts, at every size.
 """
 
 from __future__ import annotations
@@ -116,26 +116,51 @@ def prior_penalty(kind: str | None, pars: tuple[float, float], scales: np.ndarra
     return log_f - 2 * np.log(scales) - top
 
 
-def em(data: np.ndarray, w: int, dist: str = "expon", max_iter: int = 1500, tol: float = 1e-3, least: int = 100, reg: tuple[str, tuple[float, float], float] | None = None) -> Mixture | None:
+def value_counts(data: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs; ``counts``: of each entry, 1 if not given."""
+    x, at = np.unique(np.asarray(data, float), return_inverse=True)
+    return x, np.bincount(at, counts, len(x)).astype(np.int64)
+
+
+def row_range(x: np.ndarray, n: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and counts of the sorted rows from ``start`` to before ``end``; a value's rows may be cut."""
+    last = np.cumsum(n)
+    kept = np.minimum(last, end) - np.maximum(last - n, start)
+    return x[kept > 0], kept[kept > 0]
+
+
+def quantiles(x: np.ndarray, n: np.ndarray, ps: Sequence[float]) -> np.ndarray:
+    """``np.quantile`` of the rows, from distinct values in order and their counts."""
+    last = np.cumsum(n)
+    at = np.asarray(ps, float) * (last[-1] - 1)
+    low = np.floor(at)
+    a, b = (x[np.minimum(np.searchsorted(last, k, "right"), len(x) - 1)] for k in (low, low + 1))
+    return a + (b - a) * (at - low)
+
+
+def em(data: np.ndarray, w: int, dist: str = "expon", max_iter: int = 1500, tol: float = 1e-3, least: int = 100, reg: tuple[str, tuple[float, float], float] | None = None, counts: np.ndarray | None = None) -> Mixture | None:
     """Mixture of ``w`` components by expectation-maximization; None if it has not settled after ``max_iter`` steps.
 
     Starts from the likelihood fits of w equal chunks of the sorted data. Stops when no parameter
     changes by more than ``tol`` of itself, after ``least`` steps. ``reg``: (prior, parameters,
-    weight) on the rates of exponential components.
+    weight) on the rates of exponential components. ``counts``: rows that each entry stands for.
     """
-    x = np.sort(np.asarray(data, float))
-    x = x[x > 0]
-    if len(x) < 2 * w or w < 1:
+    x, n = value_counts(data, counts)
+    x, n = x[x > 0], n[x > 0]
+    rows = int(n.sum())
+    if w < 1 or rows < 2 * w:
         return None
-    pars = [fam.fit_mle(dist, c) if np.ptp(c) > 0 else fam.fit_mle(dist, np.append(c, c[0] * 1.01)) for c in np.array_split(x, w)]
+    ends = [k * (rows // w) + min(k, rows % w) for k in range(w + 1)]
+    chunks = [row_range(x, n, a, b) for a, b in zip(ends, ends[1:])]
+    pars = [fam.fit_mle(dist, c, m) if len(c) > 1 else fam.fit_mle(dist, np.append(c, c[0] * 1.01), np.append(m, 1)) for c, m in chunks]
     probs = np.full(w, 1 / w)
     for step in range(max_iter):
         logp = np.log(probs + 1e-300)[:, None] + np.array([fam.logpdf(dist, x, s, c) for s, c in pars])
         top = logp.max(axis=0)
         dens = np.exp(logp - top)
         total = dens.sum(axis=0)
-        r = dens / total
-        new_probs = r.sum(axis=1) / len(x)
+        r = dens / total * n
+        new_probs = r.sum(axis=1) / rows
         new = []
         for k in range(w):
             s, c = fam.fit_mle(dist, x, r[k] + 1e-300)
@@ -148,8 +173,8 @@ def em(data: np.ndarray, w: int, dist: str = "expon", max_iter: int = 1500, tol:
         change = max(abs(a - b) / max(abs(b), 1e-12) for (s1, c1), (s0, c0), p1, p0 in zip(new, pars, new_probs, probs) for a, b in [*zip(s1, s0), (c1, c0), (p1, p0)])
         pars, probs = new, new_probs
         if change < tol and step >= least:
-            llf = float((np.log(total) + top).sum())
-            return Mixture([dist] * w, list(probs), [list(s) for s, _ in pars], [c for _, c in pars], llf=llf, n=len(x))
+            llf = float((n * (np.log(total) + top)).sum())
+            return Mixture([dist] * w, list(probs), [list(s) for s, _ in pars], [c for _, c in pars], llf=llf, n=rows)
     return None
 
 
@@ -171,21 +196,26 @@ def merge_similar(m: Mixture, min_pval: float = 0.1) -> Mixture:
     return Mixture([c[0] for c in comps], [c[1] for c in comps], [c[2] for c in comps], [c[3] for c in comps], [c[4] for c in comps], dict(m.masses), m.llf, m.n)
 
 
-def divide(x: np.ndarray, max_splits: int = 10, max_cv: float = 1.5, min_size: int | None = None) -> list[np.ndarray]:
-    """Sorted data in at most ``max_splits`` chunks, each grown until its coefficient of variation reaches ``max_cv``."""
-    x = np.sort(x)
-    least = max(int(min_size or 0), len(x) // max_splits, 2)
+def divide(x: np.ndarray, n: np.ndarray, max_splits: int = 10, max_cv: float = 1.5, min_size: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Values in order with their counts in at most ``max_splits`` chunks of rows, each grown until its coefficient of variation reaches ``max_cv``."""
+    rows = int(n.sum())
+    least = max(int(min_size or 0), rows // max_splits, 2)
     grow = max(1, least // 10)
-    out, at = [], 0
-    while at < len(x):
-        end = min(len(x), at + least)
-        while end < len(x) and x[at:end].std() / max(x[at:end].mean(), 1e-300) < max_cv:
-            end = min(len(x), end + grow)
-        out.append(x[at:end])
-        at = end
-    if len(out) > 1 and len(out[-1]) < least:
-        out[-2:] = [np.concatenate(out[-2:])]
-    return out
+
+    def cv(a: int, b: int) -> float:
+        c, m = row_range(x, n, a, b)
+        mean = float(np.average(c, weights=m))
+        return math.sqrt(float(np.average((c - mean) ** 2, weights=m))) / max(mean, 1e-300)
+
+    ends = [0]
+    while ends[-1] < rows:
+        end = min(rows, ends[-1] + least)
+        while end < rows and cv(ends[-1], end) < max_cv:
+            end = min(rows, end + grow)
+        ends.append(end)
+    if len(ends) > 2 and ends[-1] - ends[-2] < least:
+        ends.pop(-2)
+    return [row_range(x, n, a, b) for a, b in zip(ends, ends[1:])]
 
 
 def gamma_prior(rates: np.ndarray) -> tuple[float, float] | None:
@@ -205,21 +235,23 @@ def laplace_prior(rates: np.ndarray) -> tuple[float, float] | None:
     return (mu, b) if b > 0 else None
 
 
-def hyper_exp(data: np.ndarray, phases: tuple[int, int] = (1, 4), prior: str | None = "gamma", max_splits: int = 5, max_cv: float = 1.5) -> Mixture | None:
+def hyper_exp(data: np.ndarray, phases: tuple[int, int] = (1, 4), prior: str | None = "gamma", max_splits: int = 5, max_cv: float = 1.5, counts: np.ndarray | None = None) -> Mixture | None:
     """Mixture of exponentials: EM per chunk, a refit regularised by a prior on the rates found, similar components merged.
 
     The order of a chunk is the first whose merged components are fewer than the order. Without a
-    fit a single exponential of the mean.
+    fit a single exponential of the mean. ``counts``: rows that each entry stands for.
     """
-    x = np.sort(np.asarray(data, float))
-    x = x[x > 0]
+    x, n = value_counts(data, counts)
+    x, n = x[x > 0], n[x > 0]
     if not len(x):
         return None
+    rows = int(n.sum())
     names, probs, scales = [], [], []
-    for chunk in divide(x, max_splits, max_cv):
+    for chunk, m in divide(x, n, max_splits, max_cv):
+        size = int(m.sum())
         best = None
         for w in range(phases[0], phases[1] + 1):
-            fit = em(chunk, w, "expon")
+            fit = em(chunk, w, "expon", counts=m)
             if fit is None:
                 break
             small = merge_similar(fit)
@@ -231,17 +263,17 @@ def hyper_exp(data: np.ndarray, phases: tuple[int, int] = (1, 4), prior: str | N
             pars = {"gamma": gamma_prior, "laplace": laplace_prior}[prior](rates) if prior and len(rates) > 1 else None
             if pars:
                 lreg = float(np.abs(prior_penalty(prior, pars, np.array(best.scales))).sum())
-                lam = 0.01 * len(chunk) * abs(best.llf / (len(chunk) * max(lreg, 1e-9)))
-                best = em(chunk, len(best.names), "expon", reg=(prior, pars, min(lam, len(chunk)))) or best
-        comps = zip(best.probs, best.scales) if best else [(1.0, float(chunk.mean()))]
+                lam = 0.01 * size * abs(best.llf / (size * max(lreg, 1e-9)))
+                best = em(chunk, len(best.names), "expon", reg=(prior, pars, min(lam, size)), counts=m) or best
+        comps = zip(best.probs, best.scales) if best else [(1.0, float(np.average(chunk, weights=m)))]
         for p, c in comps:
             names.append("expon")
-            probs.append(p * len(chunk) / len(x))
+            probs.append(p * size / rows)
             scales.append(c)
-    out = merge_similar(Mixture(names, probs, [[] for _ in names], scales, n=len(x)))
+    out = merge_similar(Mixture(names, probs, [[] for _ in names], scales, n=rows))
     with np.errstate(all="ignore"):
         dens = sum(p * np.exp(fam.logpdf("expon", x, [], c)) for p, c in zip(out.probs, out.scales))
-        out.llf = float(np.log(np.maximum(dens, 1e-300)).sum())
+        out.llf = float((n * np.log(np.maximum(dens, 1e-300))).sum())
     return out
 
 
@@ -289,28 +321,27 @@ def quantile_mixture(q: dict[float, float], dist: str, order: int, pmin: float =
     return None
 
 
-def fit_groups(df: DataFrame, by: Sequence[str], col: str, fit: Callable[[np.ndarray], Mixture | None], max_rows: int = 20_000) -> DataFrame:
+def fit_groups(df: DataFrame, by: Sequence[str], col: str, fit: Callable[..., Mixture | None], max_rows: int | None = None, weighted: bool = False) -> DataFrame:
     """``by, n, family, probs, shapes, scales, locations, llf, mean, std`` of a model per group; null parts where none fits.
 
-    A group larger than ``max_rows`` is represented by 2,000 evenly spaced quantiles (an aggregate).
+    Every group is fitted on all its rows; ``max_rows`` no longer changes anything. ``weighted``: ``fit``
+    takes distinct values in order and their counts, so a worker holds the distinct values of a group;
+    else it takes the rows.
     """
-    x = no_nan(col)
-    rows = df.where(x.isNotNull()).select(*by, x.alias("x"))
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.where(F.col("_n") > max_rows)
-    fine = [i / 2000 + 1 / 4000 for i in range(2000)]
-    big = rows.join(large, list(by)).groupBy(*by).agg(F.percentile_approx("x", fine, 100_000).alias("q"), F.first("_n").alias("_n")).select(*by, F.explode("q").alias("x"), "_n")
-    small = rows.join(counts.where(F.col("_n") <= max_rows), list(by)).select(*by, "x", "_n")
+    x = no_nan(col).cast("double")
+    rows = df.where(x.isNotNull()).groupBy(*by, (x + F.lit(0.0)).alias("x")).agg(F.count(F.lit(1)).alias("_n"))
     kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = fit(pdf["x"].to_numpy(float))
+        pdf = pdf.sort_values("x")
+        v, c = pdf["x"].to_numpy(float), pdf["_n"].to_numpy()
+        m = fit(v, c) if weighted else fit(np.repeat(v, c))
         head = [pdf[b].iloc[0] for b in by]
-        n = int(pdf["_n"].iloc[0])
+        n = int(c.sum())
         if m is None:
             row = [*head, n, None, None, None, None, None, None, None, None]
         else:
             row = [*head, n, m.names[0] if m.names else None, list(map(float, m.probs)), [list(map(float, s)) for s in m.shapes], list(map(float, m.scales)), list(map(float, m.locations)), m.llf, m.mean(), m.std()]
         return pd.DataFrame([row], columns=[*by, "n", "family", "probs", "shapes", "scales", "locations", "llf", "mean", "std"])
 
-    return small.unionByName(big).groupBy(*by).applyInPandas(run, f"{kinds}, n long, family string, probs array<double>, shapes array<array<double>>, scales array<double>, locations array<double>, llf double, mean double, std double")
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, n long, family string, probs array<double>, shapes array<array<double>>, scales array<double>, locations array<double>, llf double, mean double, std double")

@@ -197,6 +197,29 @@ def test_fit_groups_of_any_size(spark):
         assert len(got) == 2 and all(r["n"] == 3000 and r["mean"] == pytest.approx(5, rel=0.08) for r in got)
 
 
+def test_fit_groups_uses_every_row_of_a_large_group(spark):
+    df = spark.range(25_000).select(F.lit(1).alias("g"), F.round(-F.ln(density.hash_uniform(1, F.col("id")) + 1e-12) * 5, 2).alias("x"))
+    x = df.toPandas().x.to_numpy()
+    x = x[x > 0]
+    fits = (lambda v: mixtures.em(v, 1), False), (lambda v, n: mixtures.em(v, 1, counts=n), True), (lambda v, n: mixtures.hyper_exp(v, (1, 2), max_splits=2, counts=n), True)
+    for fit, weighted in fits:
+        r = mixtures.fit_groups(df.where("x > 0"), ["g"], "x", fit, weighted=weighted).first()
+        assert r["n"] == len(x) and r["mean"] == pytest.approx(x.mean(), rel=1e-9)
+        assert r["llf"] == pytest.approx(-len(x) * (math.log(x.mean()) + 1), rel=1e-9)
+
+
+def test_counts_stand_for_rows():
+    x = np.round(np.random.default_rng(4).exponential([1.0, 30.0], (2500, 2)).ravel(), 1)
+    x = x[x > 0]
+    v, n = np.unique(x, return_counts=True)
+    for f in (lambda *a, **k: mixtures.em(*a, 2, "expon", **k), lambda *a, **k: mixtures.hyper_exp(*a, (1, 3), max_splits=3, **k)):
+        rows, counted = f(x), f(v, counts=n)
+        assert counted.n == rows.n == len(x) and counted.llf == pytest.approx(rows.llf, rel=1e-12)
+        assert counted.scales == pytest.approx(rows.scales) and counted.probs == pytest.approx(rows.probs)
+    ps = [0.0, 0.013, 0.1, 0.5, 0.9, 1.0]
+    assert mixtures.quantiles(v, n, ps) == pytest.approx(np.quantile(x, ps))
+
+
 def test_split_sample(spark):
     rows = [(i, 0.0 if i < 300 else float(1 + i % 700), i % 5 != 0) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, x double, ev boolean")
