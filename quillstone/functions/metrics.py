@@ -179,10 +179,11 @@ def ljung_box(df: DataFrame, by: Sequence[str], order: str, col: str, lags: int
     return out if by else out.drop("_all")
 
 
-def white_noise_test(df: DataFrame, by: Sequence[str], order: str, col: str, p_thres: float = 0.05, lags: int = 10, max_rows: int = 5000) -> DataFrame:
+def white_noise_test(df: DataFrame, by: Sequence[str], order: str, col: str, p_thres: float = 0.05, lags: int = 10) -> DataFrame:
     """``by, n, k2, p_k2, shapiro_p, lb, p_lb, is_white``: normal by K² and Shapiro-Wilk, uncorrelated by Ljung-Box.
 
-    Shapiro-Wilk is defined for at most 5,000 values; larger groups are judged by K² alone.
+    All three tests judge every group, whatever its size. A test that can't be made (fewer than 3 values
+    for Shapiro-Wilk, 8 for K², or all equal) is null, and so is ``is_white`` unless another test fails.
     """
 
     from quillstone.functions.special import chi2_sf, shapiro_wilk
@@ -193,10 +194,11 @@ def white_noise_test(df: DataFrame, by: Sequence[str], order: str, col: str, p_t
     mom = rows.groupBy(*keyed).agg(F.count(x).alias("n"), F.skewness(x).alias("sk"), F.kurtosis(x).alias("ku"))
     mom = mom.withColumn("k2", k2_statistic(F.col("n"), F.col("sk"), F.col("ku"))).withColumn("p_k2", F.exp(-F.col("k2") / 2))
     lb = ljung_box(rows, keyed, order, col, lags).drop("n")
-    fit = rows.join(mom.where(F.col("n").between(3, max_rows)).select(*keyed), keyed, "left_semi").select(*keyed, x.alias("x")).where("x is not null")
+    fit = rows.where(x.isNotNull()).groupBy(*keyed, (x.cast("double") + F.lit(0.0)).alias("x")).agg(F.count(F.lit(1)).alias("_n"))
 
     def shapiro(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*pdf[keyed].iloc[0], shapiro_wilk(pdf["x"].to_numpy())[1]]], columns=[*keyed, "shapiro_p"])
+        p = shapiro_wilk(pdf["x"].to_numpy(), pdf["_n"].to_numpy())[1]
+        return pd.DataFrame([[*pdf[keyed].iloc[0], None if math.isnan(p) else p]], columns=[*keyed, "shapiro_p"])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keyed)
     sw = fit.groupBy(*keyed).applyInPandas(shapiro, f"{schema}, shapiro_p double")
@@ -206,5 +208,5 @@ def white_noise_test(df: DataFrame, by: Sequence[str], order: str, col: str, p_t
         return q.map(lambda v: chi2_sf(v, lags) if v == v else math.nan)
 
     out = mom.join(lb, keyed).join(sw, keyed, "left").withColumn("p_lb", tail("lb"))
-    white = (F.col("p_k2") > p_thres) & F.coalesce(F.col("shapiro_p") > p_thres, F.lit(True)) & (F.col("p_lb") > p_thres)
+    white = (F.col("p_k2") > p_thres) & (F.col("shapiro_p") > p_thres) & (F.col("p_lb") > p_thres)
     return out.select(*([k for k in keyed if k != "_all"]), "n", "k2", "p_k2", "shapiro_p", "lb", "p_lb", white.alias("is_white"))

@@ -161,6 +161,17 @@ def test_white_noise(spark):
     assert got["n"]["is_white"] and not got["w"]["is_white"] and got["w"]["p_lb"] < 1e-6
 
 
+def test_white_noise_of_a_large_group_needs_shapiro(spark):
+    rng = np.random.default_rng(11)
+    three = rng.permutation(np.repeat([-math.sqrt(3), 0.0, math.sqrt(3)], [1000, 4000, 1000]))  # skewness and excess kurtosis 0
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(three)], "i int, e double")
+    r = metrics.white_noise_test(df, [], "i", "e").first()
+    assert r["n"] == 6000 and r["p_k2"] > 0.05 and r["p_lb"] > 0.05
+    assert r["shapiro_p"] < 1e-6 and r["is_white"] is False
+    v, n = np.unique(three, return_counts=True)
+    assert special.shapiro_wilk(v, n) == pytest.approx(special.shapiro_wilk(three))
+
+
 def test_kaplan_meier_by_hand(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, True), (2.0, False), (3.0, False), (4.0, True), (None, True)], "t double, e boolean")
     got = [(r["t"], r["at_risk"], r["survival"]) for r in density.kaplan_meier(df, "t", "e").orderBy("t").collect()]
