@@ -32,18 +32,24 @@ def covered_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFra
     return periods_and_gaps(df, entity, start, end)
 
 
-def plot_by_year(df: DataFrame, cols: Sequence[str], tcol: str, years: Sequence[int], base_year: int | None = None, time_scale: str = "W") -> DataFrame:
+def plot_by_year(df: DataFrame, cols: Sequence[str], tcol: str, years: Sequence[int] | None = None, base_year: int | None = None, time_scale: str = "W") -> DataFrame:
     """Years side by side by ISO week ('W') or ISO weekday: ``iso_nbr, <tcol> of the base year, <year>_<col>...``.
 
-    Years are given, so the pivot is one aggregate. Dates must be unique (ValueError else). Several
-    dates of a year with one ISO number give their mean.
+    Years not given are those of the data, and the base year its first calendar year. The pivot is one
+    aggregate. Dates must be unique (ValueError else). Several dates of a year with one ISO number give
+    their mean.
     """
     if df.groupBy(tcol).count().where("count > 1").limit(1).count():
         raise ValueError("dates repeat")
-    base = base_year if base_year is not None else min(years)
     d = F.col(tcol).cast("date")
     iso = F.weekofyear(d) if time_scale == "W" else F.weekday(d) + 1
     year = F.extract(F.lit("YEAROFWEEK"), d).cast("int") if time_scale == "W" else F.year(d)
+    if years is None:
+        # the first day of a calendar year may be of the ISO year before, which then has one week only
+        found = df.where(d.isNotNull()).select(year.alias("y"), F.year(d).alias("c")).distinct().collect()
+        years, first = sorted({r["y"] for r in found}), min((r["c"] for r in found), default=None)
+        base_year = base_year if base_year is not None else first if first in years else min(years, default=None)
+    base = base_year if base_year is not None else min(years, default=None)
     rows = df.select(iso.alias("iso_nbr"), year.alias("_y"), d.alias("_d"), *cols)
     aggs = [F.min(F.when(F.col("_y") == base, F.col("_d"))).alias(tcol)]
     aggs += [F.avg(F.when(F.col("_y") == y, F.col(c))).alias(f"{y}_{c}") for y in years for c in cols]

@@ -312,6 +312,22 @@ def year_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("iso_nbr", F.date_format("d", "yyyy-MM-dd").alias("d"), *[F.round(f"{y}_y", 4).alias(f"y{y}") for y in (1995, 1996, 1997)])
 
 
+@query(
+    """
+with d as (select cast(o_orderdate as date) as d, sum(o_totalprice) as y from orders group by 1),
+r as (select week(d)::int as iso_nbr, isoyear(d)::int as y0, d, y from d),
+b as (select iso_nbr, min(d) as d from r where y0 = (select min(year(d)) from d) group by 1)
+select iso_nbr, strftime(b.d, '%Y-%m-%d') as d, y0 as year, round(avg(y), 4) as y from r join b using (iso_nbr) group by all
+"""
+)
+def year_aligned_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year of the orders by ISO week, a row per week and year."""
+    daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.sum("o_totalprice").alias("y"))
+    out = windows.plot_by_year(daily, ["y"], "d")
+    out = out.unpivot(["iso_nbr", "d"], [c for c in out.columns if c.endswith("_y")], "year", "y").where("y is not null")
+    return out.select("iso_nbr", F.date_format("d", "yyyy-MM-dd").alias("d"), F.regexp_replace("year", "_y$", "").cast("int").alias("year"), F.round("y", 4).alias("y"))
+
+
 @query(
     """
 with s as (select range::date as d from range(date '2020-01-08', date '2020-03-20', interval 1 day)), a as (select d, case when isodow(d) = 1 or d = date '2020-01-08' then d end as st from s),

@@ -139,6 +139,15 @@ def test_trips(spark):
     assert got == {(1, 1): (11, ["x", "y"]), (1, 13): (10, ["x"])}
 
 
+def test_plot_by_year_takes_every_year_of_the_data(spark):
+    days = [("1995-01-01", 1.0), ("1995-01-02", 2.0), ("1995-12-30", 3.0), ("1997-01-01", 4.0), ("1997-12-25", 5.0), ("2001-01-03", 6.0)]
+    df = spark.createDataFrame(days, "d string, y double").withColumn("d", F.to_date("d"))
+    out = windows.plot_by_year(df, ["y"], "d").orderBy("iso_nbr")
+    assert out.columns == ["iso_nbr", "d", "1994_y", "1995_y", "1997_y", "2001_y"]
+    got = [(r["iso_nbr"], str(r["d"]), *r[2:]) for r in out.collect()]
+    assert got == [(1, "1995-01-02", None, 2.0, 4.0, 6.0), (52, "1995-12-30", 1.0, 3.0, 5.0, None)]
+
+
 def test_week_start(spark):
     sat = spark.createDataFrame([(dt.date(2020, 1, 4) + dt.timedelta(days=7 * i),) for i in range(8)], "ds date")
     out = windows.set_week_start(sat)
