@@ -63,13 +63,18 @@ def _mix(spark: SparkSession, sf_dir: str, whole: bool = False):
     return sizes, mixing.plan_mix(sizes, targets, total)
 
 
-def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_mix(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The mix: documents with their copies, in random order."""
-    sizes, plan = _mix(spark, sf_dir)
+    sizes, plan = _mix(spark, sf_dir, whole)
     out = mixing.draw_mix(sizes, plan)
     return out.select(F.col("key").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copy")
 
 
+def p7_mix_full_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of as many tokens as the listed sources hold, where some fall short of their share."""
+    return p7_mix(spark, sf_dir, whole=True)
+
+
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares reached by the largest mix that holds every share."""
     return mixing.mix_report(*_mix(spark, sf_dir))
@@ -97,6 +102,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
+    "p7_mix_full_size": p7_mix_full_size,
     "p7_report": p7_report,
     "p7_report_full_size": p7_report_full_size,
     "p8_found": p8_found,

@@ -88,3 +88,17 @@ def test_token_sizes(spark):
     pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([(1, "hello there", " Shop "), (2, None, "SHOP"), (3, "", None)], "doc_id long, text string, source string")
     assert {(r["key"], r["source"], r["size"]) for r in M.token_sizes(df, "doc_id", "text", "source").collect()} == {(1, "shop", 2), (2, "shop", 0), (3, None, 0)}
+
+
+def test_rows_of_the_full_size_mix_are_those_reported(spark):
+    pytest.importorskip("public_tokenizers")
+    import os
+
+    from quillstone.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    rep = {r["source"]: (r["size"], r["records"]) for r in QUERIES["p7_report_full_size"](spark, data).collect() if r["records"]}
+    got = QUERIES["p7_mix_full_size"](spark, data).groupBy("source").agg({"n_tokens": "sum", "copy": "count"}).collect()
+    assert rep and {r["source"]: (r["sum(n_tokens)"], r["count(copy)"]) for r in got} == rep
