@@ -13,17 +13,18 @@ series without a forecast the profile of the hour of day (of the weekday, for da
 running median. Regular closing hours (a reading of zero where about zero is expected) are no faults.
 
 Scale: a series is judged by one vectorised numpy call per block of consecutive readings. Series of
-more than ``block_rows`` readings are cut into blocks of equal time with about that many, each seen
-together with a tenth of its neighbours, so a series with a third of all rows is spread over many
-tasks and every reading is judged exactly once. Which series are cut is a partial aggregate; the
-list is joined by broadcast only if proven small.
+more than ``block_rows`` readings are cut into blocks of about that many by a histogram of their
+minutes, each seen together with a tenth of its neighbours, so a series with a third of all rows is
+spread over many tasks and every reading is judged exactly once. Readings of one minute stay together.
+Scales, profile, closing hours and repetition of a long series are those of the block. Which series
+are cut and the histogram are partial aggregates, joined by broadcast only if proven small.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.session import broadcast_if_small, cut
@@ -193,7 +194,7 @@ def implausible_readings(df: DataFrame, key: str, series: str, time: str, value:
     # one aggregate: which series are long, and whether any faulty reading has no series or time
     stray = F.count_if(~placed & F.col("bad"))
     known = F.when(placed, F.col("t"))
-    sizes = rows.groupBy("s").agg(F.count(known).alias("n"), F.min(known).alias("t0"), F.max(known).alias("t1"), stray.alias("stray"))
+    sizes = rows.groupBy("s").agg(F.count(known).alias("n"), stray.alias("stray"))
     noted = cut(sizes.where((F.col("n") > block_rows) | (F.col("stray") > 0)))
     large = noted.where((F.col("n") > block_rows) & F.col("s").isNotNull()).drop("stray")
     strays = rows.where(~placed & F.col("bad")) if not noted.where("stray > 0").isEmpty() else None
@@ -201,11 +202,16 @@ def implausible_readings(df: DataFrame, key: str, series: str, time: str, value:
     if large.isEmpty():
         blocked = rows.withColumn("b", F.lit(0).cast("long")).withColumn("own", F.lit(True))
     else:
-        width = (F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / block_rows)
-        joined = rows.join(broadcast_if_small(large), "s", "left").withColumn("x", F.when(F.col("n").isNull(), 0.5).otherwise((F.col("t") - F.col("t0")) / width))
+        # readings before a minute's middle, in blocks of the series
+        minute = F.floor(F.col("t") / 60)
+        counts = rows.join(broadcast_if_small(large), "s").groupBy("s", minute.alias("m"), "n").agg(F.count(F.lit(1)).alias("c"))
+        before = F.sum("c").over(Window.partitionBy("s").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c") / 2
+        blocks = F.ceil(F.col("n") / block_rows)
+        places = cut(counts.select("s", "m", blocks.alias("blocks"), (before * blocks / F.col("n")).alias("x")))
+        joined = rows.withColumn("m", minute).join(broadcast_if_small(places), ["s", "m"], "left").withColumn("x", F.coalesce("x", F.lit(0.5)))
         home = F.floor("x")
         off = F.col("x") - home
-        copies = F.array_compact(F.array(home, F.when(F.col("n").isNotNull() & (off < 0.1) & (home > 0), home - 1), F.when(F.col("n").isNotNull() & (off > 0.9), home + 1)))
+        copies = F.array_compact(F.array(home, F.when((off < 0.1) & (home > 0), home - 1), F.when((off > 0.9) & (home + 1 < F.col("blocks")), home + 1)))
         blocked = joined.withColumn("home", home).withColumn("b", F.explode(copies)).withColumn("own", F.col("b") == F.col("home"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -134,3 +134,11 @@ def test_blocks_of_a_long_series(spark, block_rows):
     got = implausible_readings(frame(spark, rows), "obs", "sid", "ds", "y", "yhat", "unit", BOUNDS, block_rows=block_rows).collect()
     assert len(got) == len({r["obs"] for r in got})
     assert {r["obs"]: r["fault"] for r in got} == dict.fromkeys([5, 666, 1333, 1999], "spike") | dict.fromkeys(range(990, 1012), "stuck")
+
+
+def test_blocks_of_a_long_series_hold_equal_rows(spark):
+    """Sparse readings at the end of a long series are judged too."""
+    exp, y = series(2000, seed=5)
+    y[[5, 1996]] += 60
+    rows = [(i, s, u, T0 + dt.timedelta(hours=i if i < 1990 else 1990 + 2000 * (i - 1989)), v, h) for i, s, u, _, v, h in rows_of(y, exp)]
+    assert run(spark, rows, block_rows=300) == {5: "spike", 1996: "spike"}
