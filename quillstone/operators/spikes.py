@@ -4,8 +4,8 @@ Method: phase-space thresholding. A reading's deviation from its expected value,
 series' usual deviation at that level, and its first and second differences span three planes; in
 each, the ellipse of robust scales times the universal threshold ``sqrt(2 ln n)`` bounds what n
 readings normally do. Readings outside are taken out, scales are estimated again, and so on until
-none is left. Of the readings so found those are spikes that are exactly ``cutoff`` usual
-deviations off; the rest lie outside for a neighbour's sake. Zero-difference runs longer than the
+none is left. Of the readings so found those are spikes that are more than ``cutoff`` usual
+deviations off; as the ellipses reach less far than a ``cutoff`` of 5, it alone decides. Zero-difference runs longer than the
 series' own rate of repetition explains are stuck; bounds of the unit catch impossible readings.
 
 Expected value: the forecast, taken from its neighbours where single values lack, its lasting bias removed; for
