@@ -547,13 +547,13 @@ def lognorm_qfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def em_expon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two exponentials per segment of balances."""
     df = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    return mixtures.fit_groups(df, ["c_mktsegment"], "c_acctbal", lambda x, n: mixtures.em(x, 2, "expon", max_iter=300, counts=n), weighted=True)
+    return mixtures.fit_groups(df, ["c_mktsegment"], "c_acctbal", lambda x, n: mixtures.em(x, 2, "expon", counts=n), weighted=True)
 
 
 @query()
 def hyper_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").where("value > 0")
-    return mixtures.fit_groups(df, ["event_type"], "value", lambda x, n: mixtures.hyper_exp(x, (1, 2), max_splits=2, counts=n), weighted=True)
+    return mixtures.fit_groups(df, ["event_type"], "value", lambda x, n: mixtures.hyper_exp(x, counts=n), weighted=True)
 
 
 @query()
@@ -573,14 +573,14 @@ def loess_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def loess_best_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").groupBy("event_type", F.unix_date(F.col("ts").cast("date")).alias("d")).agg(F.sum("value").alias("y"))
-    return smooth.opt_loess(d, ["event_type"], "d", "y", (0.3, 0.5, 0.7))
+    return smooth.opt_loess(d, ["event_type"], "d", "y")
 
 
 @query()
 def impute_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing types and values of events, filled by regression."""
     df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.hour("ts").alias("hr"))
-    return impute.impute(df, ex_cols=["event_id"], rounds=2)
+    return impute.impute(df, ex_cols=["event_id"])
 
 
 @query()
@@ -604,7 +604,7 @@ def outliers_by_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.bootstrap(table(spark, sf_dir, "part"), ["p_retailprice", "p_size"], "p_partkey", n_iters=100)
+    return density.bootstrap(table(spark, sf_dir, "part"), ["p_retailprice", "p_size"], "p_partkey")
 
 
 @query()

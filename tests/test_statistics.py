@@ -240,3 +240,23 @@ def test_split_sample(spark):
     assert 100 < few.count() < 260
     drawn, m = density.split_sample(df, "x", "id", event="ev")
     assert drawn.count() > 1000 and m[0.0] >= 0.15
+
+
+def test_queries_use_the_operators_defaults(spark, monkeypatch):
+    import os
+
+    from quillstone.operators import impute, smooth
+    from quillstone.plans.reference_queries import QUERIES
+
+    calls = {}
+    for module, name in ((mixtures, "em"), (mixtures, "hyper_exp"), (smooth, "opt_loess"), (impute, "impute"), (density, "bootstrap")):
+        monkeypatch.setattr(module, name, lambda *a, _name=name, **k: calls.setdefault(_name, (a, k)))
+    monkeypatch.setattr(mixtures, "fit_groups", lambda df, by, col, fit, **k: fit("x", "n"))
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    for q in ("em_expon", "hyper_exp", "loess_best_span", "impute_events", "bootstrap_prices"):
+        QUERIES[q](spark, data)
+    assert calls["em"] == (("x", 2, "expon"), {"counts": "n"}) and calls["hyper_exp"] == (("x",), {"counts": "n"})
+    assert calls["opt_loess"][0][1:] == (["event_type"], "d", "y") and not calls["opt_loess"][1]
+    assert calls["impute"][1] == {"ex_cols": ["event_id"]} and not calls["bootstrap"][1]
