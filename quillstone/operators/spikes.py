@@ -2,11 +2,11 @@
 
 Method: phase-space thresholding. A reading's deviation from its expected value, in units of the
 series' usual deviation at that level, and its first and second differences span three planes; in
-each, the ellipse of robust scales times the universal threshold ``sqrt(2 ln n)`` bounds what n
-readings normally do. Readings outside are taken out, scales are estimated again, and so on until
-none is left. Of the readings so found those are spikes that are more than ``cutoff`` usual
-deviations off; as the ellipses reach less far than a ``cutoff`` of 5, it alone decides. Zero-difference runs longer than the
-series' own rate of repetition explains are stuck; bounds of the unit catch impossible readings.
+each, a robust ellipse whose radius is a universal threshold, scaled to the series' size and tail,
+bounds what its readings normally do. Readings outside any of them are taken out, scales are
+estimated again, and so on until none is left: those are the spikes, by nothing but the ellipses.
+Zero-difference runs longer than the series' own rate of repetition explains are stuck; bounds of
+the unit catch impossible readings.
 
 Expected value: the forecast, taken from its neighbours where single values lack, its lasting bias removed; for
 series without a forecast the profile of the hour of day (of the weekday, for daily series) on a
@@ -88,33 +88,57 @@ def _expected(t: np.ndarray, v: np.ndarray, yhat: np.ndarray) -> tuple[np.ndarra
     return np.where(pd.Series(np.where(np.isfinite(v), v, np.nan)).groupby(slot).transform("median").to_numpy() == 0, 0.0, out), extra
 
 
-def _ellipses(u: np.ndarray) -> np.ndarray:
-    """Readings outside one of the three phase-space ellipses, found iteratively."""
-    found = np.zeros(len(u), bool)
-    x = np.where(np.isfinite(u), u, 0.0)
-    n = max(int(np.isfinite(u).sum()), 3)
-    k = np.sqrt(2 * np.log(n))
-    for _ in range(20):
-        d1 = np.gradient(x)
-        d2 = np.gradient(d1)
-        s0, s1, s2 = (max(_mad(z), 1e-12) for z in (x, d1, d2))
-        out = (x / (k * s0)) ** 2 + (d1 / (k * s1)) ** 2 > 1
-        out |= (d1 / (k * s1)) ** 2 + (d2 / (k * s2)) ** 2 > 1
-        th = np.arctan2((x * d2).sum(), (x * x).sum() + 1e-12)
-        c2, q2 = np.cos(th) ** 2, np.sin(th) ** 2
-        a2 = max((c2 * s0**2 - q2 * s2**2) / max(c2 * c2 - q2 * q2, 1e-6), 1e-12) * k * k
-        b2 = max((c2 * s2**2 - q2 * s0**2) / max(c2 * c2 - q2 * q2, 1e-6), 1e-12) * k * k
-        p, q = x * np.cos(th) + d2 * np.sin(th), d2 * np.cos(th) - x * np.sin(th)
-        out |= p * p / a2 + q * q / b2 > 1
-        out &= ~found & np.isfinite(u)
+#: Planes of phase space by their axes: value, first and second difference.
+PLANES = (("value", "first"), ("value", "second"), ("first", "second"))
+#: Readings of a series without faults that may be expected outside each plane's ellipse.
+FALSE_ALARMS = 0.01
+
+
+def _tail(z: np.ndarray) -> float:
+    """How much farther than a normal sample the outer twentieth of standardised values reaches, 1 at least."""
+    return max(1.0, float(np.quantile(np.abs(z), 0.95)) / 1.96) if z.size else 1.0
+
+
+def phase_space(u: np.ndarray, false_alarms: float = FALSE_ALARMS) -> tuple[np.ndarray, np.ndarray]:
+    """(readings outside an ellipse, largest distance in radii per reading) of standardised deviations in order of time.
+
+    Of n normal readings ``n exp(-k² / 2)`` lie outside an ellipse of radius k, so the universal threshold
+    at which ``false_alarms`` are expected is ``k = sqrt(2 ln(n / false_alarms))``; it grows with the
+    uncertainty of a scale from n readings and with the series' own tail. Axes are MADs, their
+    correlation is that of robust scales of sum and difference. In each round the readings outside that
+    deviate most among their neighbours are taken out, as a spike puts its neighbours' differences
+    outside as well, and the rest is measured again, until none is outside. Null deviations take no part.
+    """
+    found, radius = np.zeros(len(u), bool), np.full(len(u), np.nan)
+    left = np.flatnonzero(np.isfinite(u))
+    while left.size >= 8:
+        x = u[left] - np.median(u[left])
+        n = left.size
+        wide = np.concatenate([x[:1], x, x[-1:]])
+        axes = {"value": x, "first": (wide[2:] - wide[:-2]) / 2, "second": x - (wide[2:] + wide[:-2]) / 2}
+        unit = {}
+        for name, z in axes.items():
+            scale = _mad(z) or 1.2533 * float(np.mean(np.abs(z)))
+            unit[name] = (z - np.median(z)) / scale if scale > 0 else np.zeros(n)
+        far = np.zeros(n)
+        for a, b in PLANES:
+            p, q = unit[a], unit[b]
+            plus, minus = _mad(p + q) ** 2, _mad(p - q) ** 2
+            r = np.clip((plus - minus) / (plus + minus), -0.95, 0.95) if plus + minus > 0 else 0.0
+            dist = np.sqrt(np.maximum((p * p - 2 * r * p * q + q * q) / (1 - r * r), 0.0))
+            far = np.maximum(far, dist / max(_tail(p), _tail(q)))
+        far /= np.sqrt(2 * np.log(n / false_alarms)) * (1 + 2.32 / np.sqrt(n))
+        radius[left] = far
+        size = np.concatenate([[-1.0], np.abs(x), [-1.0]])
+        out = (far > 1) & (size[1:-1] >= size[2:]) & (size[1:-1] >= size[:-2])
         if not out.any():
             break
-        found |= out
-        x = np.where(found, 0.0, x)
-    return found
+        found[left[out]] = True
+        left = left[~out]
+    return found, radius
 
 
-def judge_series(t: np.ndarray, y: np.ndarray, yhat: np.ndarray, bad: np.ndarray, cutoff: float = 5.0, min_run: int = 6, rounding: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def judge_series(t: np.ndarray, y: np.ndarray, yhat: np.ndarray, bad: np.ndarray, false_alarms: float = FALSE_ALARMS, min_run: int = 6, rounding: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Kind ('' | 'impossible' | 'spike' | 'stuck') and score of readings in order of time (seconds).
 
     ``bad``: impossible by unit. A reading that is stuck and far off is called stuck.
@@ -169,20 +193,19 @@ def judge_series(t: np.ndarray, y: np.ndarray, yhat: np.ndarray, bad: np.ndarray
             u = np.where(np.abs(drift) > 3, u - drift, u)
             u = u / np.sqrt(1 + (extra / (w * s)) ** 2)
             u = np.where(ok, u, np.nan)
-            spike = _ellipses(u) & (np.abs(u) > cutoff)
+            spike, score = phase_space(u, false_alarms)
             kind[spike] = "spike"
-            score = np.where(np.isfinite(u), np.abs(u), score)
         kind[stuck] = "stuck"
     kind[bad] = "impossible"
     return kind, score
 
 
-def implausible_readings(df: DataFrame, key: str, series: str, time: str, value: str, expected: str, unit: str, bounds: Bounds, cutoff: float = 5.0, block_rows: int = 20_000) -> DataFrame:
+def implausible_readings(df: DataFrame, key: str, series: str, time: str, value: str, expected: str, unit: str, bounds: Bounds, false_alarms: float = FALSE_ALARMS, block_rows: int = 20_000) -> DataFrame:
     """Faulty readings: rows ``<key>, fault ('impossible' | 'spike' | 'stuck'), score``.
 
     Null and NaN readings are no faults. Repeated deliveries (equal ``key``) count once. Readings
     without series or time are only held against the bounds. Series with under eight readings too.
-    ``score``: deviation in usual ones, null where there is none.
+    ``score``: distance in radii of the ellipses, over 1 for a spike, null where there is none.
     """
     kind = df.schema[key].dataType.simpleString()
     c = lambda n: F.col(n)
@@ -217,7 +240,7 @@ def implausible_readings(df: DataFrame, key: str, series: str, time: str, value:
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("k").sort_values(["t", "k"])
         with np.errstate(all="ignore"):
-            fault, score = judge_series(pdf.t.to_numpy(float), pdf.y.to_numpy(float), pdf.e.to_numpy(float), pdf.bad.to_numpy(bool), cutoff)
+            fault, score = judge_series(pdf.t.to_numpy(float), pdf.y.to_numpy(float), pdf.e.to_numpy(float), pdf.bad.to_numpy(bool), false_alarms)
         out = pd.DataFrame({"k": pdf.k.to_numpy(), "fault": fault, "score": score})
         return out[(fault != "") & pdf.own.to_numpy(bool)]
 

@@ -3,7 +3,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from quillstone.operators.spikes import _ellipses, implausible_readings, judge_series
+from quillstone.operators import spikes
+from quillstone.operators.spikes import implausible_readings, judge_series, phase_space
 
 BOUNDS = {"secs": (0.0, None, False), "count": (0.0, None, True), "share": (0.0, 1.0, False)}
 SCHEMA = "obs long, sid string, unit string, ds timestamp_ntz, y double, yhat double, b string, t string, own string"
@@ -45,12 +46,59 @@ def test_spikes_alone_and_in_bursts():
     assert set(np.flatnonzero(judge(y, exp) == "spike")) == {50, 51, 52, 200}
 
 
-def test_ellipses_find_what_exceeds_the_threshold():
+def wandering(n=1000, seed=0):
+    """Deviations that wander slowly, far more than they change from one reading to the next."""
+    rng = np.random.default_rng(seed)
+    return np.convolve(rng.normal(0, 1, n + 59), np.ones(60) / 60**0.5, "valid") * 3
+
+
+def planes_that_find(monkeypatch, u, at):
+    found = []
+    for plane in (("value", "first"), ("value", "second"), ("first", "second")):
+        monkeypatch.setattr(spikes, "PLANES", (plane,))
+        if phase_space(u)[0][at].any():
+            found.append(plane)
+    monkeypatch.undo()
+    assert phase_space(u)[0][at].any() == bool(found)
+    return found
+
+
+@pytest.mark.parametrize("bump, plane", [((-2.0, 4.2, 4.19), ("value", "first")), ((4.0, 4.4, 4.0), ("value", "second"))])
+def test_what_one_plane_alone_finds_in_noise(monkeypatch, bump, plane):
+    """A jump between two high readings; three high readings in a row: none is beyond the threshold by its value."""
+    u = np.random.default_rng(0).normal(0, 1, 1000)
+    assert not phase_space(u)[0].any()
+    u[299:302] = bump
+    assert planes_that_find(monkeypatch, u, slice(298, 304)) == [plane]
+
+
+def test_what_the_plane_of_differences_alone_finds(monkeypatch):
+    """In a wandering series a small step is far outside by its differences and ordinary by its value."""
+    u = wandering()
+    assert not phase_space(u)[0].any()
+    at = 100 + int(np.argmin(np.abs(u[100:900])))
+    u[at : at + 2] += 3.2
+    assert np.abs(u[at : at + 2]).max() < 2 * u.std()
+    assert planes_that_find(monkeypatch, u, slice(at - 1, at + 3)) == [("first", "second")]
+
+
+def test_spikes_in_phase_space_leave_their_neighbours():
     rng = np.random.default_rng(0)
     u = rng.normal(0, 1, 1000)
-    u[300] = 9
-    found = _ellipses(u)
-    assert found[300] and found.mean() < 0.1
+    u[[300, 500, 501, 502, 700, 702]] = [9, 8, 9, 8, -12, 11]
+    u[0], u[999], u[650] = 10, -10, np.nan
+    found, radius = phase_space(u)
+    assert np.flatnonzero(found).tolist() == [0, 300, 500, 501, 502, 700, 702, 999]
+    assert (radius[found] > 1).all() and np.nanmax(radius[~found]) <= 1 and np.isnan(radius[650])
+
+
+def test_threshold_follows_size_and_tail():
+    """Normal and heavy-tailed noise of any length gives few false alarms."""
+    rng = np.random.default_rng(3)
+    for n in (20, 200, 5000):
+        assert np.mean([phase_space(rng.normal(0, 1, n))[0].sum() for _ in range(100)]) < 0.1
+    assert phase_space(rng.standard_t(5, 5000))[0].sum() < 25
+    assert not phase_space(np.zeros(50))[0].any() and not phase_space(np.empty(0))[0].any() and not phase_space(np.full(20, np.nan))[0].any()
 
 
 def test_stuck_run_counts_whole_and_with_rounding_noise():
