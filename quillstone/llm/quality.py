@@ -1,278 +1,248 @@
-"""Per-document text statistics and text types (prose, list, table, junk) in several languages.
-
-Method: thresholds on the statistics are noisy labelling functions, each voting for a type or
-abstaining. How often a function votes what for each type is learned by expectation-maximization
-from its agreement with the others (a Dawid-Skene model with a prior that functions are right more
-often than not), and the posterior of each type is put out per document.
-
-Scale: statistics and votes are built-in expressions in one narrow pass over whole texts. EM needs
-only how often each combination of votes occurs: one partial aggregate, whose result has at most
-``prod(votes of a function)`` rows whatever the corpus, and is fitted on the driver. The posterior of
-each combination is joined by broadcast to the statistics, which are kept in the shared checkpoint
-folder so that texts are read once. No row moves.
-
-Null, empty and blank texts have no type (null) and statistics of zero; letters, digits and symbols
-are counted over all characters; lines are cut at any line end.
+"""Per-document text statistics and text types (prose, list, table, junk) in any language.
+
+Method: thresholds on single statistics are noisy labelling functions. Each vote names the types that the
+statistic speaks for; a function abstains between its thresholds and where it does not apply. How often a
+function casts which vote for each type is learned by expectation-maximization from the agreement of the
+functions alone: types start equally frequent, all functions start equally trusted (a vote is ``DOUBT``
+times as likely for a type that it does not name), and pseudo-votes of ``TRUST`` of the documents per
+function and type remain of that. The posterior of each type is put out per document.
+
+Common words are learned from the corpus as well: the words (pairs of characters in scripts without
+spaces) that at least ``COMMON_IN`` of a language's documents hold. A document is measured against the
+share that common words usually have in its language, so no list of words is built in. The language is
+what the corpus says of its documents (its first two letters), if it says anything; where it says
+nothing, or has fewer than ``LEAST_DOCUMENTS`` of a language, missing common words speak against nothing.
+
+Scale: two narrow passes of numpy over whole texts (``textstats``). The first counts words per language
+within each task before the shuffle; what is kept of it are at most ``MOST_COMMON`` words of each of 676
+languages. The statistics of the second are kept in the shared checkpoint folder. EM needs only how often
+each combination of votes occurs: one partial aggregate, whose result has at most ``prod(votes of a
+function)`` rows whatever the corpus (about a thousand in practice), and is fitted on the driver. The
+posterior of each combination is joined by broadcast behind a check of its size. No text moves.
+
+Null, empty and blank texts have no type (null) and statistics of zero. Shares of lines are shares of
+their visible characters, so a type is that of the larger part of a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import cut, spread
-
-TYPES = ("prose", "list", "table", "junk")
-
-# Words that any text of some length in the language has many of.
-COMMON_WORDS = {
-    "en": "the a an and or but of to in on at by for with from as is are was were be been it its this that i you he she we they my your his her our their me him us them not no so if than then when what who which all any some more most very can could will would do does did has have had there here up out about into over after before because just only also even",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war waren wir ich sie er es zu im in am auf mit für von bei aus nach wie was dass wenn auch noch nur schon so sehr mehr als hat habe haben wird würde kann mein meine mir mich uns unser unsere seit um zum zur man kaum etwas sich",
-    "es": "el la los las un una unos unas y o pero de del al a en con por para que no es son era fue está están ha he han lo le se me mi su nos nuestra muy más menos como cuando si ya todo todavía también sin sobre",
-    "fr": "le la les des du une un et ou mais de en au aux avec pour par dans sur que qui ne pas est sont était a ont il elle on nous vous je ce cette ces mon ma mes son sa ses leur plus très aussi bien tout toute après même y n'est c'est j'ai d'un l'ai",
-}
-COMMON = tuple(sorted({w for ws in COMMON_WORDS.values() for w in ws.split()}))
-WORD = r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?"
-CJK = r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}ー]"
-KANA = r"\p{IsHiragana}"
-END_MARK = r"[.!?。！？…‽](?:[\"'»”’)\]\s]|\p{So})*$"
-BULLET = r"^\s*(?:[-–—*•·▪●◦✓✔☑✗+>]|\[[ xX]?\]|\(?\d{1,3}[.)]|[A-Za-z][.)]|#\d{1,3})\s+\S"
-PAIR = r"^\s*[\p{L} ]{1,20}\s*(?::|=|\.{3,})\s*\S"
-# both look at a mark first, as most characters are none
-CELL = r"(?=[|\t;,·<]|   )(?:[|\t]|(?<!&\w{2,6});(?=[^\s;])|,(?=[^\s,])|·(?<=\s·)(?=\s)| {3,}|<t[dh])"
-SEPARATOR = r"(?=[/|·>•~–—\-;,、・#])(?:(?<=\s)[/|·>•~–—-](?=\s)|(?<!&\w{2,6});(?=\s)|,(?=\s)|[、・]|(?<=\s)#)"
-_CONSONANT = "[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]"
-ODD_WORD = rf"(?<!\p{{L}})(?:\p{{IsLatin}}{{26,}}|[bcdfghjklmnpqrstvwxz]{{2,}}|\p{{IsLatin}}*?(?:(?!sch){_CONSONANT}){{5,}}\p{{IsLatin}}*)(?!\p{{L}})"
-REPEATED = r"(\S)\1{9,}"
-#: Marks, letters and digits without a break, as in encoded data.
-UNBROKEN = r"[!-~]{30,}"
-
-
-def line_facts(line: Column, words: Column) -> Column:
-    """Counts of one line, given with its words in lower case, as a struct."""
-    count = lambda p: F.regexp_count(line, F.lit(p))
-    wide = F.octet_length(line) > F.char_length(line)  # else there is nothing but ASCII
-    return F.struct(
-        F.length(F.trim(line)).alias("n"),
-        F.size(words).alias("words"),
-        F.size(F.filter(words, lambda w: w.isin(*COMMON))).alias("common"),
-        F.length(F.regexp_replace(line, r"[^\p{L}\p{M}]+", "")).alias("letters"),
-        F.when(wide, count(CJK)).otherwise(F.lit(0)).alias("cjk"),
-        F.when(wide, count(KANA)).otherwise(F.lit(0)).alias("kana"),
-        count(CELL).alias("cells"),
-        count(SEPARATOR).alias("seps"),
-        count(ODD_WORD).alias("odd"),
-        line.rlike(BULLET).alias("bullet"),
-        line.rlike(PAIR).alias("pair"),
-        line.rlike(END_MARK).alias("ended"),
-    )
-
-
-def once(c: Column) -> Column:
-    """``c`` behind a generator of one row: computed once, not copied into whatever refers to it."""
-    return F.explode(F.array(c))
-
-
-def split_text(text: Column) -> Column:
-    """The text (null as empty) with its lines that are not blank and their words in lower case."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    # rows of HTML tables are lines
-    lines = F.filter(F.split(F.regexp_replace(t, r"(?i)</(?:tr|li|p|div|h\d)>|<br\s*/?>", "\n"), r"\R"), lambda x: x.rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]"))
-    return F.struct(t.alias("text"), F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)).alias("words"))).alias("lines"))
-
-
-def text_statistics(parts: Column) -> Column:
-    """All statistics of a text as a struct, from a column of ``split_text``; a null text has those of an empty one."""
-    t, split = parts["text"], parts["lines"]
-    facts = F.transform(split, lambda x: line_facts(x["line"], x["words"]))
-    zero = F.lit(0).cast("long")
-    names = ("n", "words", "common", "letters", "cjk", "kana", "odd", "ended", "listed", "celled", "paired", "brief", "prose", "full", "lines")
-
-    def kind(x: Column) -> dict[str, Column]:
-        japanese = x["cjk"] >= 0.3 * x["n"]
-        wordy = F.when(japanese, (x["cjk"] >= 8) & (x["kana"] >= 0.2 * x["cjk"])).otherwise((x["words"] >= 4) & (x["common"] >= 0.17 * x["words"]) & (x["letters"] >= 0.5 * x["n"]))
-        celled = (x["cells"] >= 2) & ~(wordy & ~japanese & (x["words"] > 4 * (x["cells"] + 1)))
-        celled = celled & ~(x["ended"] & wordy & ~japanese & (x["words"] > 2 * (x["cells"] + 1))) & ~(japanese & wordy & (x["n"] > 15 * (x["cells"] + 1)))
-        # many short entries on one line
-        strung = (x["seps"] >= 4) & ~x["ended"] & F.when(japanese, x["n"] <= 12 * (x["seps"] + 1)).otherwise(x["words"] <= 3.4 * (x["seps"] + 1))
-        listed = (x["bullet"] | strung) & ~celled
-        paired = x["pair"] & ~celled & ~listed & ~(wordy & x["ended"]) & (x["n"] < 60)
-        brief = ~x["ended"] & ~celled & ~listed & ~paired & F.when(japanese, x["n"] <= 14).otherwise((x["words"] <= 5) & (x["n"] <= 45))
-        return {"listed": listed, "celled": celled, "paired": paired, "brief": brief, "prose": wordy & ~celled & ~listed & ~paired, "full": wordy & ~celled & ~listed & ~paired & ~brief}
-
-    def add(acc: Column, x: Column) -> Column:
-        k = kind(x)
-        plus = {n: x[n].cast("long") for n in ("n", "words", "common", "letters", "cjk", "kana", "odd")}
-        plus |= {n: F.when(k[n], x["n"].cast("long")).otherwise(zero) for n in k}
-        plus |= {"ended": F.when(x["ended"], F.lit(1).cast("long")).otherwise(zero), "lines": F.lit(1).cast("long")}
-        return F.struct(*[(acc[n] + plus[n]).alias(n) for n in names])
-
-    s = F.aggregate(facts, F.struct(*[zero.alias(n) for n in names]), add)
-    size = F.length(t)
-    digits = F.regexp_count(t, F.lit(r"\p{N}"))
-    spaces = F.regexp_count(t, F.lit(r"[\s\p{Z}\p{C}]"))
-    length_of = lambda p: F.aggregate(F.regexp_extract_all(t, F.lit(p), F.lit(0)), zero, lambda a, x: a + F.length(x))
-    repeated, unbroken = length_of(REPEATED), length_of(UNBROKEN)
-    words = F.flatten(F.transform(split, lambda x: x["words"]))
-    div = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    return F.transform(
-        F.array(s),  # names the struct once
-        lambda s: F.struct(
-            size.cast("long").alias("n_chars"), s["lines"].alias("n_lines"), s["words"].alias("n_words"),
-            div(s["letters"], s["words"]).alias("mean_word_length"),
-            div(size - s["letters"] - digits - spaces, size).alias("symbol_ratio"),
-            div(digits, size).alias("digit_ratio"),
-            div(s["ended"], s["lines"]).alias("ended_line_share"),
-            div(s["common"], s["words"]).alias("common_word_share"),
-            div(s["cjk"], s["letters"]).alias("cjk_share"), div(s["kana"], s["cjk"]).alias("kana_share"),
-            div(s["listed"], s["n"]).alias("list_share"), div(s["celled"], s["n"]).alias("cell_share"),
-            div(s["paired"], s["n"]).alias("pair_share"), div(s["brief"], s["n"]).alias("brief_share"),
-            div(F.when(s["lines"] <= 2, s["prose"]).otherwise(s["full"]), s["n"]).alias("prose_share"),
-            div(s["odd"], s["words"]).alias("odd_word_share"),
-            div(repeated, size).alias("repeated_share"), div(unbroken, size).alias("unbroken_share"),
-            F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
-        ),
-    )[0]
+from quillstone.llm import textstats
+from quillstone.session import broadcast_if_small, cut, spread
+
+TYPES = PROSE, LIST, TABLE, JUNK = ("prose", "list", "table", "junk")
+#: Share of a language's documents that hold a common word, the most of them, and the documents that a language needs.
+COMMON_IN, MOST_COMMON, LEAST_DOCUMENTS = 0.2, 300, 20
+#: Likelihood of a vote for a type it does not name against one it names, before anything is learned; its k-th root for a vote that names k.
+DOUBT = 0.1
+#: Weight of what is believed of a function before learning, as a share of the documents.
+TRUST = 0.005
 
 
 @dataclass(frozen=True)
 class Labeller:
-    """Votes in order of preference: the first condition that holds gives the vote."""
+    """Votes in order of preference: the first condition that holds gives the vote, a set of types."""
 
     name: str
-    votes: tuple[tuple[Column, str], ...]
-
-
-def labellers(s: Column) -> list[Labeller]:
-    """The labelling functions on a struct of statistics."""
-    g = lambda n: s[n]
-    japanese = g("cjk_share") > 0.3
-    dull = (g("n_words") >= 8) & (g("n_distinct_words") <= F.least(F.lit(20), F.greatest(F.lit(2.0), 0.12 * g("n_words"))))
-    # the larger part of the text is in lines of entries: what holds of its sentences decides nothing
-    entries = (g("prose_share") < 0.5) & (g("list_share") + g("pair_share") + g("cell_share") + g("brief_share") >= 0.5) & (g("n_lines") >= 2)
-    many = (g("n_lines") >= 3) & (g("prose_share") < 0.5)
-    phrase = (g("n_lines") <= 2) & (g("n_words") >= 1) & (g("n_words") <= 6) & (g("n_chars") <= 60)
-    sound = (g("odd_word_share") < 0.34) & (g("symbol_ratio") < 0.2) & (g("digit_ratio") < 0.3) & (g("repeated_share") < 0.3)
+    votes: tuple[tuple[Column, tuple[str, ...]], ...]
+
+
+def labellers(g: Callable[[str], Column]) -> list[Labeller]:
+    """The labelling functions on statistics by name. Each looks at one statistic; what stands beside it says where it applies."""
+    spaced, many = g("wide_share") < 0.3, g("n_words") >= 8
+    ratio, symbols, digits, capitals, vowels = g("common_word_ratio"), g("symbol_ratio"), g("digit_ratio"), g("capital_share"), g("vowel_share")
+    short, length, entries = g("short_word_share"), g("mean_word_length"), (PROSE, TABLE, JUNK)
+    distinct, enough = g("n_distinct_words"), (g("n_distinct_words") >= 4) & (spaced | (g("n_distinct_words") >= 8))
+    words = (PROSE, LIST, TABLE)
     return [
-        Labeller("prose_lines", ((dull, "junk"), (g("prose_share") >= 0.5, "prose"), ((g("list_share") + g("pair_share") + g("cell_share") + g("brief_share") < 0.5) & ~phrase, "junk"))),
-        Labeller("common_words", ((dull, "junk"), (~entries & ~japanese & (g("common_word_share") >= 0.22) & (g("n_words") >= 4), "prose"), (~entries & japanese & (g("kana_share") >= 0.3), "prose"), (~japanese & (g("common_word_share") < 0.08) & (g("n_words") >= 5) & (g("list_share") + g("pair_share") + g("cell_share") + g("brief_share") < 0.5), "junk"))),
-        Labeller("line_ends", ((~entries & (g("ended_line_share") >= 0.5), "prose"), (many & (g("ended_line_share") < 0.2) & (g("cell_share") >= 0.5), "table"), (many & (g("ended_line_share") < 0.2), "list"))),
-        Labeller("symbols", (((g("symbol_ratio") >= 0.5), "junk"), ((g("symbol_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("symbol_ratio") >= 0.25) & (g("pair_share") + g("list_share") < 0.3), "junk"), (~entries & (g("symbol_ratio") < 0.06) & (g("n_words") >= 6) & (g("unbroken_share") < 0.5), "prose"))),
-        Labeller("digits", (((g("digit_ratio") >= 0.12) & (g("cell_share") >= 0.3), "table"), ((g("digit_ratio") >= 0.2) & (g("pair_share") < 0.3) & (g("prose_share") < 0.5), "junk"), (~entries & (g("digit_ratio") < 0.03) & (g("n_words") >= 12) & (g("ended_line_share") > 0), "prose"))),
-        Labeller("list_lines", ((g("list_share") >= 0.5, "list"),)),
-        Labeller("pair_lines", ((g("pair_share") >= 0.5, "list"),)),
-        Labeller("cells", ((g("cell_share") >= 0.5, "table"),)),
-        Labeller("brief_lines", (((g("brief_share") >= 0.5) & (g("n_lines") >= 4), "list"),)),
-        Labeller("odd_words", (((g("odd_word_share") >= 0.5) & (g("n_words") >= 1), "junk"), ((~japanese) & (g("mean_word_length") >= 14), "junk"), ((~japanese) & (g("mean_word_length") < 2.5) & (g("n_words") >= 4), "junk"))),
-        Labeller("repetition", ((g("repeated_share") >= 0.4, "junk"), (dull, "junk"))),
-        Labeller("unbroken", ((g("unbroken_share") >= 0.5, "junk"),)),
-        Labeller("phrase", ((phrase & sound & (g("list_share") + g("cell_share") + g("pair_share") < 0.5), "prose"), (phrase & ~sound, "junk"), (g("n_words") == 0, "junk"))),
-    ]
-
-
-def vote_codes(s: Column) -> list[Column]:
-    """Per labelling function 0 for none, or 1 + the index of the type."""
+        Labeller("entries", ((g("entry_share") >= 0.5, (LIST,)), (g("entry_share") < 0.5, entries))),
+        Labeller("bullets", ((g("bullet_share") >= 0.5, (LIST,)), (g("bullet_share") < 0.5, entries))),
+        Labeller("cells", ((g("cell_share") >= 0.5, (TABLE,)), (g("cell_share") < 0.5, (PROSE, LIST, JUNK)))),
+        Labeller("line_words", (((g("n_lines") >= 4) & (g("line_words") <= 5.5), (LIST, TABLE)), (g("line_words") >= 9, (PROSE, JUNK)))),
+        Labeller("line_ends", ((g("ended_share") >= 0.5, (PROSE,)), ((g("n_lines") >= 3) & (g("ended_share") < 0.3), (LIST, TABLE, JUNK)))),
+        Labeller("common_words", ((enough & (ratio >= 0.55), (PROSE,)), (enough & g("language_known") & (ratio < 0.2), (LIST, TABLE, JUNK)))),
+        Labeller("symbols", ((symbols >= 0.45, (JUNK,)), (symbols >= 0.085, (LIST, TABLE, JUNK)), (symbols < 0.065, (PROSE, LIST)))),
+        Labeller("digits", ((digits >= 0.15, (TABLE, JUNK)), (digits < 0.05, (PROSE, LIST)))),
+        Labeller("capitals", ((spaced & (distinct >= 4) & (capitals >= 0.6), (JUNK,)), (spaced & (distinct >= 4) & (capitals < 0.4), words))),
+        Labeller("short_words", ((spaced & (distinct >= 8) & (short < 0.08), (TABLE, JUNK)), (spaced & (distinct >= 8) & (short >= 0.2), words))),
+        Labeller("vowels", ((vowels < 0.27, (JUNK,)), (vowels >= 0.33, words))),
+        Labeller("word_length", ((spaced & ((length >= 14) | ((length > 0) & (length < 2.4))), (JUNK,)), (spaced & (length >= 3) & (length < 9), words))),
+        Labeller("repeated_word", ((many & (g("top_word_share") >= 0.5), (JUNK,)), (many & (g("top_word_share") < 0.3), words))),
+        Labeller("distinct_words", ((many & (distinct <= 2), (JUNK,)), (many & (distinct >= 6), words))),
+        Labeller("repeated_mark", ((g("repeated_share") >= 0.4, (JUNK,)), (g("repeated_share") < 0.4, words))),
+        Labeller("unbroken", ((g("unbroken_share") >= 0.5, (JUNK,)), (g("unbroken_share") < 0.5, words))),
+        Labeller("letters", ((g("letter_ratio") < 0.4, (TABLE, JUNK)), (g("letter_ratio") >= 0.7, (PROSE, LIST, JUNK)))),
+    ]
+
+
+def vote_codes(g: Callable[[str], Column]) -> list[Column]:
+    """Per labelling function 0 for none, or 1 + the index of its vote."""
     out = []
-    for lab in labellers(s):
+    for lab in labellers(g):
         c = F.lit(0)
-        for cond, kind in reversed(lab.votes):
-            c = F.when(cond, F.lit(1 + TYPES.index(kind))).otherwise(c)
+        for i, (cond, _) in reversed(list(enumerate(lab.votes))):
+            c = F.when(cond, F.lit(i + 1)).otherwise(c)
         out.append(c.alias(lab.name))
     return out
 
 
-#: Votes each labelling function can cast, in order.
-def _possible(s: Column) -> list[list[int]]:
-    return [sorted({0} | {1 + TYPES.index(k) for _, k in lab.votes}) for lab in labellers(s)]
+def named_types() -> list[list[tuple[int, ...]]]:
+    """Per labelling function the types that each vote names, as indexes."""
+    return [[tuple(TYPES.index(t) for t in kinds) for _, kinds in lab.votes] for lab in labellers(F.col)]
+
 
+def untrained(named: list[list[tuple[int, ...]]]) -> list[np.ndarray]:
+    """P(vote | type, a vote is cast) per function before learning, as (types, 1 + votes); an abstention says nothing (1)."""
+    out = []
+    for votes in named:
+        m = np.array([[1.0 if c in v else DOUBT ** (1 / len(v)) for v in votes] for c in range(len(TYPES))])
+        out.append(np.hstack([np.ones((len(TYPES), 1)), m / m.sum(axis=1, keepdims=True)]))
+    return out
 
-def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, possible: list[list[int]], rounds: int = 200, strength: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """EM on counted vote combinations → log priors (types) and log P(vote | type, a vote is cast).
 
-    An abstention says nothing about the type; its log-probability is 0. The prior says that a
-    function that has a vote for the type is right four times of five; it weighs ``strength`` of the
-    documents (and one document at least).
+def posterior(patterns: np.ndarray, frequency: np.ndarray, theta: list[np.ndarray]) -> np.ndarray:
+    """P(type) of each combination of votes."""
+    logp = np.log(frequency)[None, :] + sum(np.log(t[:, patterns[:, j]].T + 1e-12) for j, t in enumerate(theta))
+    p = np.exp(logp - logp.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, named: list[list[tuple[int, ...]]], rounds: int = 500) -> tuple[np.ndarray, list[np.ndarray]]:
+    """EM on counted combinations of votes → frequency of the types and P(vote | type, a vote is cast) per function.
+
+    The untrained functions remain as pseudo-votes of ``TRUST`` of the documents, one at least, per type.
     """
-    k, f, v = len(TYPES), patterns.shape[1], len(TYPES) + 1
-    prior = np.zeros((f, k, v))
-    for j, allowed in enumerate(possible):
-        votes = [a for a in allowed if a]
-        for c in range(k):
-            others = [a for a in votes if a != 1 + c]
-            for a in votes:
-                prior[j, c, a] = 1.0 if not others else (0.8 if a == 1 + c else (0.2 if len(others) < len(votes) else 1.0) / len(others))
-        if len(votes) == 1:  # such a function can only be quiet on other types: its vote is rare there
-            for c in range(k):
-                prior[j, c, votes[0]] = 0.8 if 1 + c == votes[0] else 0.05
-    one_vote = np.array([len([a for a in p if a]) == 1 for p in possible])
-    weight = np.array([0.7, 0.1, 0.1, 0.1])
-    theta, pi = prior.copy(), weight.copy()
-    onehot = (patterns[:, :, None] == np.arange(v)[None, None, :]).astype(float)
-    onehot[:, :, 0] = 0.0
-    total = max(float(counts.sum()), 1.0)
-    heavy = max(strength * total, 1.0)
+    k = len(TYPES)
+    start = untrained(named)
+    theta, frequency = start, np.full(k, 1 / k)
+    if not len(patterns):
+        return frequency, theta
+    trust = max(1.0, TRUST * float(counts.sum()))
     for _ in range(rounds):
-        post = _posterior(onehot, np.log(pi), np.log(theta + 1e-9))
-        w = post * counts[:, None]
-        new_pi = (w.sum(0) + heavy * weight) / (w.sum() + heavy)
-        seen = np.einsum("pc,pfv->fcv", w, onehot) + heavy * prior
-        # of one possible vote, how often it is cast; of several, which
-        every = np.where(one_vote[:, None, None], (w.sum(0) + heavy)[None, :, None], seen.sum(axis=2, keepdims=True))
-        new = seen / every
-        moved = np.abs(new - theta).max() + np.abs(new_pi - pi).max()
-        theta, pi = new, new_pi
-        if moved < 1e-7:
+        w = posterior(patterns, frequency, theta) * counts[:, None]
+        new_frequency = (w.sum(axis=0) + 1) / (w.sum() + k)
+        new = []
+        for j, t in enumerate(start):
+            seen = np.stack([w[patterns[:, j] == v].sum(axis=0) for v in range(1, t.shape[1])], axis=1) + trust * t[:, 1:]
+            new.append(np.hstack([t[:, :1], seen / seen.sum(axis=1, keepdims=True)]))
+        moved = max(np.abs(a - b).max() for a, b in zip(new, theta))
+        theta, frequency = new, new_frequency
+        if moved < 1e-6:
             break
-    log_theta = np.log(theta + 1e-9)
-    log_theta[:, :, 0] = 0.0
-    return np.log(pi), log_theta
+    return frequency, theta
+
 
+def _language(df: DataFrame, lang: str | None) -> Column:
+    """The language's first two letters, '' where nothing is said."""
+    if lang is None:
+        return F.lit("")
+    two = F.lower(F.substring(F.trim(F.col(lang).cast("string")), 1, 2))
+    return F.when(two.rlike("^[a-z]{2}$"), two).otherwise(F.lit(""))
 
-def _posterior(onehot: np.ndarray, log_pi: np.ndarray, log_theta: np.ndarray) -> np.ndarray:
-    logp = log_pi[None, :] + np.einsum("pfv,fcv->pc", onehot, log_theta)
-    post = np.exp(logp - logp.max(axis=1, keepdims=True))
-    return post / post.sum(axis=1, keepdims=True)
 
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch.column("text").to_pylist()]
 
-def _voted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, statistics ``s`` and the vote codes ``v``."""
-    parts = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", once(split_text(F.col("text"))).alias("parts"))
-    base = parts.select("key", once(text_statistics(F.col("parts"))).alias("s"))
-    return cut(base.select("key", "s", once(F.array(*vote_codes(F.col("s")))).alias("v")))
 
+def common_words(rows: DataFrame, declared: bool) -> tuple[np.ndarray, dict[str, float]]:
+    """(sorted words that are common in some language, usual share of common words per language) of rows ``text, lang``.
 
-def _fitted(voted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vote combinations that occur, log priors and log accuracies."""
-    counted = voted.where(F.col("s.n_lines") > 0).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per combination of votes
+    ``declared``: the rows say their language; then '' is no language but stands for the mean of all.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, langs = _texts(batch), batch.column("lang").to_pylist()
+            names = sorted(set(langs))
+            of = {g: i for i, g in enumerate(names)}
+            numbers = np.array([of[g] for g in langs], np.int64)
+            parts = [textstats.word_counts(texts[a:b], numbers[a:b]) for a, b in textstats.chunks(texts)]
+            filled = np.array([bool(t) and not t.isspace() for t in texts], bool)
+            g, w, n = (np.concatenate([p[i] for p in parts] + [extra]) for i, extra in enumerate((np.arange(len(names)), np.full(len(names), -1), np.bincount(numbers[filled], minlength=len(names)))))
+            pairs, at = np.unique(np.stack([g, w]), axis=1, return_inverse=True) if len(parts) > 1 else (np.stack([g, w]), np.arange(g.size))
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in pairs[0]], pa.string()), pa.array(pairs[1], pa.int64()), pa.array(np.bincount(at.ravel(), n, pairs.shape[1]).astype(np.int64))], names=["lang", "word", "n"])
+
+    source = rows.where(F.col("lang") != "") if declared else rows
+    counts = cut(source.select("text", "lang").mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word") < 0, F.col("n"))).alias("docs"), F.sum(F.when(F.col("word") >= 0, F.col("n"))).alias("held")).where(F.col("docs") >= LEAST_DOCUMENTS)
+    # a language is two letters: at most 676 of them
+    frequent = counts.where("word >= 0").join(F.broadcast(totals), "lang").where(F.col("n") >= COMMON_IN * F.col("docs"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    found = frequent.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_COMMON).select("lang", "word", "n", "held").collect()
+    if not found:
+        return np.zeros(0, np.int64), {}
+    held: dict[str, int] = {r["lang"]: r["held"] for r in found}
+    hits = {g: sum(r["n"] for r in found if r["lang"] == g) for g in held}
+    usual = {g: hits[g] / held[g] for g in held}
+    if declared:
+        usual[""] = sum(hits.values()) / sum(held.values())
+    return np.unique(np.array([r["word"] for r in found], np.int64)), usual
+
+
+_FIELDS = [*textstats.COUNTS, *textstats.SHARES]
+
+
+def _voted(df: DataFrame, key: str, text: str, lang: str | None) -> DataFrame:
+    """``key``, the statistics and the vote codes ``v``, kept in the shared folder."""
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _language(df, lang).alias("lang")))
+    common, usual = common_words(rows, lang is not None)
+    declared = lang is not None
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, langs = _texts(batch), batch.column("lang").to_pylist()
+            expect = np.array([usual.get(g, np.nan) for g in langs], float)
+            parts = [textstats.statistics(texts[a:b], common, expect[a:b]) for a, b in textstats.chunks(texts)]
+            known = pa.array(np.isfinite(expect) & declared, pa.bool_())
+            cols = [np.concatenate([p[f] for p in parts]) for f in _FIELDS]
+            kinds = [pa.int64() if f in textstats.COUNTS else pa.float64() for f in _FIELDS]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), known, *[pa.array(c, k, from_pandas=True) for c, k in zip(cols, kinds)]], names=["key", "language_known", *_FIELDS])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    fields = ", ".join(f"{f} {'long' if f in textstats.COUNTS else 'double'}" for f in _FIELDS)
+    measured = rows.mapInArrow(measure, f"key {kind}, language_known boolean, {fields}")
+    return cut(measured.withColumn("v", F.array(*vote_codes(F.col))))
+
+
+def _fitted(voted: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The combinations of votes that occur, the frequency of types and what was learned of the functions."""
+    counted = voted.where(F.col("n_lines") > 0).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per combination of votes
     counted.sort(key=lambda r: r["v"])
-    possible = _possible(F.col("s"))
-    patterns = np.array([r["v"] for r in counted], dtype=int).reshape(-1, len(possible))
-    return patterns, *fit_accuracies(patterns, np.array([r["n"] for r in counted], dtype=float), possible)
+    named = named_types()
+    patterns = np.array([r["v"] for r in counted], dtype=int).reshape(-1, len(named))
+    return patterns, *fit_accuracies(patterns, np.array([r["n"] for r in counted], dtype=float), named)
 
 
-def text_types(df: DataFrame, key: str, text: str) -> DataFrame:
+def text_types(df: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
     """``<key>``, the statistics, ``p_prose, p_list, p_table, p_junk`` and ``text_type`` of each row.
 
-    Blank texts have null posteriors and type. Equal rows get equal results; ties of the posterior
-    go to the earlier type. An empty table gives an empty result.
+    ``lang``: column with the language that the corpus gives, in any notation that begins with two
+    letters; wrong ones do little harm. Blank texts have null posteriors and type. Equal rows get equal
+    results; ties of the posterior go to the earlier type. An empty table gives an empty result. Other
+    columns are not read.
     """
-    voted = _voted(df, key, text)
-    patterns, log_pi, log_theta = _fitted(voted)
-    onehot = (patterns[:, :, None] == np.arange(len(TYPES) + 1)[None, None, :]).astype(float)
-    post = _posterior(onehot, log_pi, log_theta) if len(patterns) else np.zeros((0, len(TYPES)))
+    voted = _voted(df, key, text, lang)
+    patterns, frequency, theta = _fitted(voted)
+    post = posterior(patterns, frequency, theta) if len(patterns) else np.zeros((0, len(TYPES)))
     names = [f"p_{t}" for t in TYPES]
     rows = [(v.tolist(), *map(float, p), TYPES[int(p.argmax())]) for v, p in zip(patterns, post)]
     table = df.sparkSession.createDataFrame(rows, "v array<int>, " + ", ".join(f"{n} double" for n in names) + ", text_type string")
-    joined = voted.join(F.broadcast(table), "v", "left")  # one row per combination of votes
-    seen = F.col("s.n_lines") > 0
-    return joined.select(F.col("key").alias(key), "s.*", *[F.when(seen, F.col(n)).alias(n) for n in [*names, "text_type"]])
+    joined = voted.join(broadcast_if_small(table), "v", "left")
+    seen = F.col("n_lines") > 0
+    return joined.select(F.col("key").alias(key), *_FIELDS, *[F.when(seen, F.col(n)).alias(n) for n in [*names, "text_type"]])
 
 
-def accuracies(df: DataFrame, key: str, text: str) -> list[dict]:
-    """What was learned of the labelling functions: per function and type the shares of votes (for inspection)."""
-    _, _, theta = _fitted(_voted(df, key, text))
-    names = [lab.name for lab in labellers(F.col("s"))]
-    return [{"function": n, "type": t, **{f"votes_{u}": float(np.exp(theta[j, c, 1 + i])) for i, u in enumerate(TYPES)}} for j, n in enumerate(names) for c, t in enumerate(TYPES)]
+def accuracies(df: DataFrame, key: str, text: str, lang: str | None = None) -> list[dict]:
+    """What was learned of the labelling functions: per function and vote the types named and P(vote | type) (for inspection)."""
+    _, _, theta = _fitted(_voted(df, key, text, lang))
+    out = []
+    for lab, t in zip(labellers(F.col), theta):
+        out += [{"function": lab.name, "vote": i, "names": kinds, **{k: float(t[c, 1 + i]) for c, k in enumerate(TYPES)}} for i, (_, kinds) in enumerate(lab.votes)]
+    return out

@@ -87,7 +87,7 @@ def p7_report_full_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, posteriors and type of every document's text."""
-    return quality.text_types(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return quality.text_types(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
