@@ -43,7 +43,7 @@ COMMON_IN, MOST_COMMON, LEAST_DOCUMENTS = 0.2, 300, 20
 #: Likelihood of a vote for a type it does not name against one it names, before anything is learned; its k-th root for a vote that names k.
 DOUBT = 0.1
 #: Weight of what is believed of a function before learning, as a share of the documents.
-TRUST = 0.005
+TRUST = 0.002
 
 
 @dataclass(frozen=True)
