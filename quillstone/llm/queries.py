@@ -11,8 +11,6 @@ from quillstone.session import broadcast_if_small, cut, table
 
 PERCENTILES = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 COLUMNS = ["q10", "q50", "q90"]
-#: Leading bits of the kept counts: an error below 2**-9, 0.2 %.
-SUMMARY_BITS = 21
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,15 +19,23 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is kept per day to be combined: counts per key, column and value interval."""
+    """What is kept per day to be combined: a row per day and key with the counts of each column's cells."""
     rows = table(spark, sf_dir, "q_fits").select("fit_id", F.col("ds").cast("date").alias("day"), "ts_key", *COLUMNS).distinct()
-    return percentiles.value_counts(rows, "ts_key", COLUMNS, ["day"], SUMMARY_BITS).select("day", F.col("g").alias("ts_key"), F.col("c").alias("column_name"), "key", "n")
+    return percentiles.cell_counts(rows, "ts_key", COLUMNS, ["day"])
+
+
+def p1_daily_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day, key and column the number of cells and of values that the kept counts have."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("cells")) for c in COLUMNS]))
+    n = F.aggregate("v.cells", F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    out = p1_daily_counts(spark, sf_dir).select("day", "ts_key", each.alias("v")).where(F.size("v.cells") > 0)
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "ts_key", "v.column_name", F.size("v.cells").cast("long").alias("n_cells"), n.alias("n_values"))
 
 
 def p1_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of all days from the counts kept per day, within 0.2 %."""
-    daily = p1_daily_counts(spark, sf_dir).select(F.col("ts_key").alias("g"), F.col("column_name").alias("c"), "key", "n")
-    out = percentiles.bisect_percentiles(cut(percentiles.combine_counts(daily)), PERCENTILES, SUMMARY_BITS)
+    """Percentiles of all days from the counts kept per day (written to the shared folder and read again), within 0.8 %."""
+    kept = cut(p1_daily_counts(spark, sf_dir))
+    out = percentiles.cell_percentiles(percentiles.combine_counts(kept, "ts_key", COLUMNS), PERCENTILES)
     return out.select(F.col("g").alias("ts_key"), F.col("c").alias("column_name"), "p", "value", "n")
 
 
@@ -98,6 +104,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_daily_counts": p1_daily_counts,
+    "p1_daily_sizes": p1_daily_sizes,
     "p1_combined": p1_combined,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
@@ -117,13 +124,19 @@ u as (select ts_key, 'q10' as c, q10 as v from r union all select ts_key, 'q50',
 f as (select * from u where v is not null and isfinite(v))
 select ts_key, c as column_name, unnest({_P})::double as p, unnest(quantile_disc(v, {_P})) + 0.0 as value, count(*) as n from f group by 1, 2
 """,
-    # a cut value is the lower end of its interval: 9 bits after the leading one, in the order of the values
+    # a value is cut to 7 bits after the leading one
     "p1_combined": f"""
 with r as (select distinct fit_id, cast(ds as date) as d, ts_key, q10, q50, q90 from q_fits),
 u as (select ts_key, 'q10' as c, q10 as v from r union all select ts_key, 'q50', q50 from r union all select ts_key, 'q90', q90 from r),
 f as (select * from u where v is not null and isfinite(v)),
 p as (select ts_key, c, unnest({_P})::double as p, unnest(quantile_disc(v, {_P})) + 0.0 as v, count(*) as n from f group by 1, 2),
-s as (select *, pow(2, floor(log2(abs(v))) - 9) as w from p)
-select ts_key, c as column_name, p, case when v = 0 then 0.0 when v > 0 then floor(v / w) * w else -(floor(-v / w) * w + w - w / pow(2, 43)) end as value, n from s
+s as (select *, pow(2, floor(log2(abs(v))) - 7) as w from p)
+select ts_key, c as column_name, p, case when v = 0 then 0.0 else sign(v) * floor(abs(v) / w) * w end as value, n from s
+""",
+    "p1_daily_sizes": """
+with r as (select distinct fit_id, cast(ds as date) as d, ts_key, q10, q50, q90 from q_fits),
+u as (select d, ts_key, 'q10' as c, q10 as v from r union all select d, ts_key, 'q50', q50 from r union all select d, ts_key, 'q90', q90 from r),
+f as (select d, ts_key, c, case when v = 0 then 0.0 else sign(v) * floor(abs(v) / pow(2, floor(log2(abs(v))) - 7)) * pow(2, floor(log2(abs(v))) - 7) end as cell from u where v is not null and isfinite(v))
+select strftime(d, '%Y-%m-%d') as day, ts_key, c as column_name, count(distinct cell) as n_cells, count(*) as n_values from f group by all
 """,
 }
