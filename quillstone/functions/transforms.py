@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.clean import no_nan
+from quillstone.operators.quantiles import column_quantiles
 
 SQRT_3_2 = math.sqrt(1.5)
 
@@ -161,8 +162,7 @@ class Transform:
                 self.kind = "quantile"
         if self.kind == "quantile":
             m = max(2, min(self.n_quantiles, r["n"]))
-            at = F.array(*[F.lit(i / (m - 1)) for i in range(m)])
-            self.edges = list(df.agg(F.percentile(y, at).alias("q")).first()["q"])
+            self.edges = column_quantiles(df, [col], [i / (m - 1) for i in range(m)])[col]
         self.fitted = True
         return self
 

@@ -138,3 +138,19 @@ def column_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     cols = [c for c in old.columns if c in new.columns]
     a, b = old.select(*cols), new.select(*cols)
     return b.exceptAll(a), a.exceptAll(b), a.intersect(b)
+
+
+def scatter_cells(df: DataFrame, x: str, y: str, z: str, nx: int = 50, ny: int = 50) -> DataFrame:
+    """``xb, yb, n, z, shade``: rows per cell of an even grid, mean of ``z`` and its place between the smallest and largest mean.
+
+    The data of a scatter plot shaded by a third column, for any number of rows: at most ``nx * ny``.
+    Rows without x, y or z are left out.
+    """
+    a, b, c = no_nan(x), no_nan(y), no_nan(z)
+    rows = df.select(a.alias("x"), b.alias("y"), c.alias("z")).where("x is not null and y is not null and z is not null")
+    ends = rows.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    place = lambda v, n: F.when(F.col(f"{v}1") > F.col(f"{v}0"), F.least(F.lit(n - 1), F.floor((F.col(v) - F.col(f"{v}0")) / (F.col(f"{v}1") - F.col(f"{v}0")) * n))).otherwise(F.lit(0)).cast("int")
+    cells = rows.crossJoin(F.broadcast(ends)).groupBy(place("x", nx).alias("xb"), place("y", ny).alias("yb")).agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("z"))  # one row of ends
+    tone = cells.agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+    shade = F.coalesce(F.try_divide(F.col("z") - F.col("z0"), F.col("z1") - F.col("z0")), F.lit(0.0))
+    return cells.crossJoin(F.broadcast(tone)).select("xb", "yb", "n", "z", shade.alias("shade"))  # one row

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.operators.clean import no_nan, numeric_columns
+from quillstone.operators.quantiles import column_quantiles
 
 AGGREGATES = {"median": F.median, "avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
 
@@ -37,10 +38,8 @@ def with_size_bins(df: DataFrame, col: str, n: int, name: str = "bin") -> DataFr
 
 def count_edges(df: DataFrame, col: str, n: int, digits: int = 9, accuracy: int | None = None) -> list[float]:
     """Distinct inner edges of n equal-count bins (exact interpolated quantiles, or approximate ones with ``accuracy``)."""
-    x = no_nan(col)
     at = [i / n for i in range(1, n)]
-    q = F.percentile_approx(x, at, accuracy) if accuracy else F.percentile(x, F.array(*[F.lit(p) for p in at]))
-    got = df.agg(q.alias("q")).first()["q"] if at else []
+    got = (df.agg(F.percentile_approx(no_nan(col), at, accuracy).alias("q")).first()["q"] if accuracy else column_quantiles(df, [col], at)[col]) if at else []
     return sorted({round(e, digits) for e in got or []})
 
 
@@ -54,9 +53,15 @@ def with_count_bins(df: DataFrame, col: str, n: int, name: str = "bin", accuracy
 def _heavy(df: DataFrame, col: str, n: int) -> list[float]:
     """Values that fill at least one of n bins alone; at most n of them."""
     x = no_nan(col)
-    counts = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    total = df.agg(F.count(x)).first()[0]
-    return sorted(r["x"] for r in counts.where(F.col("k") >= total / n).collect()) if total else []  # at most n rows
+    # such a value lies at one of n even ranks at least: few candidates, counted in one aggregate
+    grid = column_quantiles(df, [col], [i / (4 * n) for i in range(4 * n + 1)])[col]
+    if grid is None:
+        return []
+    held = sorted({a for a, b in zip(grid, grid[1:]) if a == b} | ({grid[0]} if n == 1 else set()))
+    if not held:
+        return []
+    got = df.agg(F.count(x).alias("total"), *[F.count_if(x == v).alias(f"k{i}") for i, v in enumerate(held)]).first()
+    return [v for i, v in enumerate(held) if got[f"k{i}"] >= got["total"] / n]
 
 
 def bin_values(df: DataFrame, col: str, n: int, kind: str = "count", qfunc: str = "median", discrete: Sequence[str] | None = None, thres: float | None = None) -> DataFrame:

@@ -7,12 +7,14 @@ stays. Order-sensitive operators take the order column.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.operators.quantiles import column_quantiles
 from quillstone.session import broadcast_if_small
 
 
@@ -49,14 +51,25 @@ def trim_df(df: DataFrame, cols: Sequence[str] | None = None, rge: float = 1.5,
     """``df`` without rows that lie outside the IQR band in any chosen column.
 
     Bounds are kept; null and NaN never trim; a column without a range (all null) trims nothing.
-    All bounds come from one aggregate (see ``iqr_bounds`` for ``accuracy``). With ``by`` they are
-    taken per group.
+    Without ``by`` the bounds are exact, found by bisection (``column_quantiles``) whatever the size; with
+    ``by`` they come from one aggregate per group, see ``iqr_bounds`` for ``accuracy``.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
     names = {c: f"_b{i}" for i, c in enumerate(cols)}
     lo, hi = min(qtiles), max(qtiles)
+    if not by and not accuracy:
+        out = F.lit(False)
+        for c, q in column_quantiles(df, cols, [lo, hi]).items():
+            if q is None or not all(map(math.isfinite, q)):
+                continue
+            reach, x = rge * (q[1] - q[0]), no_nan(c)
+            if upr:
+                out = out | F.coalesce(x > q[1] + reach, F.lit(False))
+            if lwr:
+                out = out | F.coalesce(x < q[0] - reach, F.lit(False))
+        return df.where(~out)
     bounds = df.groupBy(*by).agg(*[iqr_bounds(c, rge, lo, hi, accuracy).alias(n) for c, n in names.items()])
     both = df.join(broadcast_if_small(bounds), list(by)) if by else df.crossJoin(F.broadcast(bounds))  # without groups one row
     out = F.lit(False)

@@ -89,11 +89,11 @@ def set_week_start(df: DataFrame, tcol: str = "ds") -> DataFrame:
     days = df.select(F.col(tcol).cast("date").alias("d")).where("d is not null").distinct()
     # distinct dates of a calendar are few: one ordered window over them
     gaps = days.select("d", F.datediff(F.lead("d").over(Window.orderBy("d")), "d").alias("gap"))
-    stat = gaps.where("gap is not null").groupBy("gap").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gap").limit(50).collect()
-    total = sum(r["n"] for r in stat)
-    if not total or stat[0]["n"] < 0.9 * total:
+    counts = gaps.where("gap is not null").groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
+    stat = counts.agg(F.max(F.struct("n", (-F.col("gap")).alias("less"))).alias("top"), F.sum("n").alias("total")).first()
+    if not stat["total"] or stat["top"]["n"] < 0.9 * stat["total"]:
         raise ValueError("no clear frequency of dates")
-    gap = stat[0]["gap"]
+    gap = -stat["top"]["less"]
     if gap == 1:
         return df
     if gap != 7:

@@ -6,6 +6,8 @@ Nothing here caches or checkpoints on one executor only: lineage is cut with a r
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,6 +29,7 @@ def get_spark(app: str = "quillstone", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     return b.config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
@@ -53,14 +56,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's setting, else one of our own (tests only)."""
+    """The shared checkpoint folder: the one set, else that of ``spark.checkpoint.dir``.
+
+    Where neither is set, a local session (tests) gets a folder of its own, removed at exit; a cluster
+    gets a ValueError, as a folder of one machine is of no use there.
+    """
     sc = spark.sparkContext
     has = sc._jsc.sc().getCheckpointDir()
     if has.isDefined():
         return has.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillstone-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
@@ -87,10 +97,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the cluster has cores, for costly narrow work.
 
-    Moves rows only if the input comes in fewer partitions, so never where there is much of it.
+    Moves rows only if a scan comes in fewer partitions, so never where there is much of it. A plan
+    with a shuffle is left to AQE; nothing is run to count partitions.
     """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,10 +10,13 @@ import logging
 import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.operators.quantiles import column_quantiles
+
 log = logging.getLogger("quillstone")
 
 # Tokens read as null. The bare token NA is data.
@@ -106,7 +109,7 @@ def save_df(df: DataFrame, path: str, sep: str = ",") -> str:
     try:
         df.write.mode("overwrite").parquet(base + ".par")
         return base + ".par"
-    except Exception as e:  # noqa: BLE001 - any writer failure leads to the other format
+    except AnalysisException as e:  # the columns do not fit; failures of the work itself are not caught
         log.warning("no Parquet at %s: %s", base, str(e)[:200])
         flat = df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name).cast("string") for f in df.schema.fields])
         flat.write.mode("overwrite").option("compression", "gzip").csv(base + ".csv.gz", header=True, sep=sep)
@@ -197,10 +200,10 @@ def reconcile_sessions(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def plot_ticks(df: DataFrame, col: str) -> DataFrame:
     """``i, tick``: 5, 3, 2 or 1 quantile ticks by the number of values, for an axis."""
-    x = F.col(col).cast("double")
-    stat = df.agg(F.count(x).alias("n"), *[F.percentile(x, F.array(*[F.lit(q) for q in qs])).alias(f"q{len(qs)}") for qs in ([0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 0.5, 1.0], [0.0, 1.0], [0.5])])
-    ticks = F.when(F.col("n") > 5, F.col("q5")).when(F.col("n") >= 3, F.col("q3")).when(F.col("n") == 2, F.col("q2")).otherwise(F.col("q1"))
-    return stat.select(F.posexplode(ticks).alias("i", "tick")).where("tick is not null")
+    n = df.agg(F.count(F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")))).first()[0]
+    at = [0.0, 0.25, 0.5, 0.75, 1.0] if n > 5 else [0.0, 0.5, 1.0] if n >= 3 else [0.0, 1.0] if n == 2 else [0.5]
+    ticks = column_quantiles(df, [col], at)[col] or []
+    return df.sparkSession.createDataFrame(list(enumerate(ticks)), "i int, tick double")
 
 
 def plot_limits(df: DataFrame, col: str, margin: float = 0.05) -> DataFrame:

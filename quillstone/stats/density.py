@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.special import ks_p_value
 from quillstone.operators.clean import no_nan
+from quillstone.operators.quantiles import column_quantiles
 
 TWO_PI = 6.283185307179586
 
@@ -29,9 +30,8 @@ def hash_uniform(seed: int, *keys: Column) -> Column:
 
 def sim_ecdf(df: DataFrame, x: str, q_vals: Sequence[float]) -> DataFrame:
     """``q, x``: quantiles of the listed points (each with the same weight), linearly interpolated."""
-    arr = F.percentile(no_nan(x), F.array(*[F.lit(float(q)) for q in q_vals]))
-    one = df.agg(arr.alias("v"))
-    return one.select(F.posexplode("v").alias("i", "x")).select(F.get(F.array(*[F.lit(float(q)) for q in q_vals]), F.col("i")).alias("q"), "x")
+    got = column_quantiles(df, [x], [float(q) for q in q_vals])[x] or [None] * len(q_vals)
+    return df.sparkSession.createDataFrame([(float(q), v) for q, v in zip(q_vals, got)], "q double, x double")
 
 
 def sim_ecdf_draws(df: DataFrame, x: str, n: int, seed: int = 0) -> DataFrame:
@@ -97,27 +97,36 @@ def kde(df: DataFrame, x: str, grid: Sequence[float], bandwidth: float | None =
     return step.withColumn("cdf", F.try_divide(run, whole)).select("x", "pdf", "cdf")
 
 
-def kde_bandwidth(df: DataFrame, x: str, key: str, candidates: Sequence[float], folds: int = 5, digits: int = 2, max_points: int = 2000) -> float:
-    """The candidate of the largest held-out log-likelihood; values are rounded to at most ``max_points`` distinct ones."""
+def kde_bandwidth(df: DataFrame, x: str, key: str, candidates: Sequence[float], folds: int = 5, bins: int = 2048) -> float:
+    """The candidate of the largest held-out log-likelihood.
 
+    Values are counted per fold in ``bins`` even cells between the smallest and the largest, whatever
+    their number; candidates below a cell's width are not told apart well. Without values the first.
+    """
     v = no_nan(x)
-    fold = F.pmod(F.xxhash64(key), F.lit(folds))
-    for d in range(digits, -12, -1):
-        counts = df.where(v.isNotNull()).groupBy(F.round(v, d).alias("v"), fold.alias("f")).agg(F.count(F.lit(1)).alias("n"))
-        got = counts.limit(max_points * folds + 1).collect()
-        if len(got) <= max_points * folds:
-            break
-    vals = np.array([r["v"] for r in got], float)
-    f, n = np.array([r["f"] for r in got]), np.array([r["n"] for r in got], float)
+    rows = df.where(v.isNotNull()).select(v.alias("v"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("f"))
+    edges = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    cell = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width))).otherwise(F.lit(0))
+    counts = rows.crossJoin(F.broadcast(edges)).groupBy(cell.alias("c"), "f").agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first(width).alias("w"))  # one row of edges
+    got = counts.collect()  # at most bins * folds rows
+    if not got:
+        return candidates[0]
+    per = np.zeros((folds, bins))
+    for r in got:
+        per[r["f"], r["c"]] = r["n"]
+    at = got[0]["lo"] + (np.arange(bins) + 0.5) * (got[0]["w"] or 0.0)
+    used = per.sum(axis=0) > 0
+    per, at = per[:, used], at[used]
+    apart = (at[:, None] - at[None, :]) ** 2
     best = (-np.inf, candidates[0])
     for h in candidates:
+        kernel = np.exp(-apart / (2 * h * h)) / (h * TWO_PI**0.5)
         score = 0.0
         for k in range(folds):
-            a, b = f != k, f == k
-            if not a.any() or not b.any():
-                continue
-            dens = (np.exp(-((vals[b][:, None] - vals[a][None, :]) ** 2) / (2 * h * h)) * n[a]).sum(1) / n[a].sum() / (h * TWO_PI**0.5)
-            score += float((n[b] * np.log(dens + 1e-300)).sum())
+            rest = per.sum(axis=0) - per[k]
+            if per[k].any() and rest.any():
+                score += float((per[k] * np.log(kernel @ rest / rest.sum() + 1e-300)).sum())
         best = max(best, (score, h))
     return best[1]
 
@@ -147,7 +156,7 @@ def grid_by(df: DataFrame, x: str, n: int, kind: str = "by_count") -> list[float
     """Grid of n points of x: at even quantiles ('by_count') or even spacing ('by_length')."""
     v = no_nan(x)
     if kind == "by_count":
-        return list(df.agg(F.percentile(v, F.array(*[F.lit((i + 0.5) / n) for i in range(n)])).alias("q")).first()["q"] or [])
+        return column_quantiles(df, [x], [(i + 0.5) / n for i in range(n)])[x] or []
     r = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     return [] if r["lo"] is None else [r["lo"] + (r["hi"] - r["lo"]) * i / max(1, n - 1) for i in range(n)]
 
