@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _imputer_fills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cols = ["rec_id", "ds", "agent_id", "service_region", "language", "interaction_type", "tenure_days"]
-    # repeated deliveries have the same content: one row each. Two readers of the same exchange.
+    # repeated deliveries have the same content: one row each
     recs = table(spark, sf_dir, "imputer").select(*cols).distinct()
     ref = table(spark, sf_dir, "col_values")
     names = ref.select("col_name", "good_value", F.explode(F.concat(F.array("good_value"), F.coalesce("bad_values", F.array()))).alias("entry"))
@@ -56,7 +56,7 @@ def _imputer_fills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         FillSpec("service_region", is_missing_text(F.col("service_region")), F.col("_good_service_region"), [[agent]]),
         FillSpec("language", is_missing_text(F.col("language")), F.when(F.col("language").rlike("^[a-z]{2}$"), F.col("language")), [[agent]]),
         FillSpec("interaction_type", is_missing_text(F.col("interaction_type")), F.col("_good_interaction_type"), [[agent, week], [agent]]),
-        FillSpec("tenure_days", bad_tenure, day - F.round("tenure_days").cast("long"), [[agent]], context=day, restore=lambda v, ctx: (ctx - v.cast("long")).cast("string")),
+        FillSpec("tenure_days", bad_tenure, day - F.round("tenure_days").cast("long"), [[agent]], context=day, restore=lambda v, ctx: (ctx - v.cast("long")).cast("string"), stat="median"),
     ]
     return recs, missing_fills(voted.where(agent.isNotNull()), "rec_id", specs)
 

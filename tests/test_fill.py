@@ -19,6 +19,7 @@ def specs(stat="mode"):
 
 
 def fills(df, **kw):
+    kw = {"min_support": 1} | kw
     return {(r["id"], r["field_name"]): (r["fill_value"], r["fill_level"], r["fill_support"]) for r in missing_fills(df, "id", specs(), **kw).collect()}
 
 
@@ -46,6 +47,15 @@ def test_support_backs_off(spark):
     assert fills(df, min_support=2)[(4, "region")] == ("S", 1, 3)
 
 
+def test_share_and_default_support_back_off(spark):
+    """A tie in the finest group is decided beyond it; one vote is not enough unless told so."""
+    df = frame(spark, [(1, "a", "N", 1, 5.0), (2, "a", "S", 1, 5.0), (3, "a", None, 1, 5.0), (4, "a", "N", 2, 6.0), (5, "b", "S", 1, 5.0), (6, "b", None, 1, 5.0), (7, "c", "N", 1, 5.0), (8, "c", "N", 9, 13.0)])
+    assert fills(df)[(3, "region")] == ("N", 1, 3)
+    assert fills(df, min_share=0.0)[(3, "region")] == ("S", 0, 2)
+    got = {(r["id"], r["field_name"]): (r["fill_value"], r["fill_level"]) for r in missing_fills(df, "id", specs()).collect()}
+    assert got[(6, "region")] == ("N", 2) and fills(df)[(6, "region")][:2] == ("S", 0)
+
+
 def test_ties_take_the_largest(spark):
     df = frame(spark, [(1, "a", "N", 1, 5.0), (2, "a", "S", 1, 5.0), (3, "a", None, 1, 5.0)])
     assert fills(df)[(3, "region")][0] == "S"
