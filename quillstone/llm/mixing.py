@@ -8,7 +8,8 @@ The rate of a source is not its target repetition itself, as the cap and the few
 a source would pull the mix off its target: it is solved so that the copies really drawn have the
 wanted size. For fixed uniform numbers the drawn size rises with the rate, and it depends on them
 only through the size of the source above each uniform number; that function is one aggregate of
-``BINS`` rows per source, in which the rate is bisected. A source that needs its cap gets every
+``BINS`` rows per source, in which the rate is bisected by a grouped function; one row per source reaches
+the driver. A source that needs its cap gets every
 record that many times.
 
 Size of the mix: ``total`` when given. Otherwise the largest at which no listed source that has
@@ -26,6 +27,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,48 +70,58 @@ def solve_rate(above: Callable[[float], float], want: float, cap: int) -> float:
     return hi
 
 
+def _solved(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rate of one source from its sizes per bin."""
+    upper = np.zeros(BINS + 1)
+    upper[pdf["bin"].to_numpy()] = pdf["size"].to_numpy()
+    upper = upper[::-1].cumsum()[::-1]
+
+    def above(x: float) -> float:
+        at = min(max(x, 0.0), 1.0) * BINS
+        i = min(int(at), BINS - 1)
+        return float(upper[i] + (upper[i + 1] - upper[i]) * (at - i))
+
+    return pd.DataFrame({"source": [key[0]], "rate": [solve_rate(above, float(pdf["want"].iloc[0]), int(pdf["cap"].iloc[0]))]})
+
+
 def plan_mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7) -> list[dict]:
     """One entry per listed source: available size, wanted size, cap, and the inverted distribution ``cdf``.
 
     ``sizes``: rows ``key, source, size`` with tidy sources; ``targets``: ``source, target_share,
     max_repeats``. Sources not listed take no part.
     """
+    spark = sizes.sparkSession
     listed = targets.select(tidy_source(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source is not null")
     listed = listed.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     rows = listed.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources are listed")
     names = [r["source"] for r in rows]
-    bins = sizes.where(F.col("source").isin(names) & (F.col("size") > 0)).groupBy("source", F.floor(uniform(seed, F.col("key")) * BINS).alias("bin")).agg(F.sum("size").alias("size"))
-    by = {n: [0.0] * (BINS + 1) for n in names}
-    for r in bins.collect():  # at most BINS rows per listed source
-        by[r["source"]][r["bin"]] = float(r["size"])
-    plan = []
-    for r in sorted(rows, key=lambda r: r["source"]):
-        upper = by[r["source"]]
-        for i in range(BINS - 1, -1, -1):
-            upper[i] += upper[i + 1]
-        plan.append({"source": r["source"], "target_share": r["target_share"] or 0.0, "max_repeats": max(0, r["max_repeats"] or 0), "available": upper[0], "upper": upper})
+    bins = cut(sizes.where(F.col("source").isin(names) & (F.col("size") > 0)).groupBy("source", F.floor(uniform(seed, F.col("key")) * BINS).cast("int").alias("bin")).agg(F.sum("size").cast("double").alias("size")))
+    available = {r["source"]: r["size"] for r in bins.groupBy("source").agg(F.sum("size").alias("size")).collect()}  # one row per listed source
+    plan = [{"source": r["source"], "target_share": r["target_share"] or 0.0, "max_repeats": max(0, r["max_repeats"] or 0), "available": available.get(r["source"], 0.0)} for r in sorted(rows, key=lambda r: r["source"])]
     usable = [p for p in plan if p["available"] > 0 and p["max_repeats"] > 0 and p["target_share"] > 0]
     whole = sum(p["target_share"] for p in usable)
     if total is None:
         total = min((p["max_repeats"] * p["available"] * whole / p["target_share"] for p in usable), default=0.0)
     for p in plan:
-        upper, cap = p.pop("upper"), p["max_repeats"]
-        want = min(total * p["target_share"] / whole, cap * p["available"]) if p in usable else 0.0
-
-        def above(x: float, upper: list[float] = upper) -> float:
-            at = min(max(x, 0.0), 1.0) * BINS
-            i = min(int(at), BINS - 1)
-            return upper[i] + (upper[i + 1] - upper[i]) * (at - i)
-
-        if want <= 0:
-            p |= {"wanted": 0.0, "rate": 0.0, "cdf": []}
-        elif want >= cap * p["available"] * (1 - 1e-9):
-            p |= {"wanted": want, "rate": math.inf, "cdf": [0.0] * cap}
+        cap = p["max_repeats"]
+        p["wanted"] = min(total * p["target_share"] / whole, cap * p["available"]) if p in usable else 0.0
+        p["full"] = p["wanted"] > 0 and p["wanted"] >= cap * p["available"] * (1 - 1e-9)
+    ask = [(p["source"], p["wanted"], p["max_repeats"]) for p in plan if p["wanted"] > 0 and not p["full"]]
+    rates: dict[str, float] = {}
+    if ask:
+        wants = spark.createDataFrame(ask, "source string, want double, cap int")
+        solved = bins.join(F.broadcast(wants), "source").groupBy("source").applyInPandas(_solved, "source string, rate double")  # at most MAX_SOURCES rows
+        rates = {r["source"]: r["rate"] for r in solved.collect()}  # one row per listed source
+    for p in plan:
+        if p["wanted"] <= 0:
+            p |= {"rate": 0.0, "cdf": []}
+        elif p["full"]:
+            p |= {"rate": math.inf, "cdf": [0.0] * p["max_repeats"]}
         else:
-            rate = solve_rate(above, want, cap)
-            p |= {"wanted": want, "rate": rate, "cdf": poisson_cdf(rate, cap)}
+            rate = rates[p["source"]]
+            p |= {"rate": rate, "cdf": poisson_cdf(rate, p["max_repeats"])}
     return plan
 
 

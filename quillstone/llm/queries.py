@@ -59,6 +59,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the bytes that a document's ids stand for are those of its text."""
+    docs = table(spark, sf_dir, "documents")
+    raw = tokenizing.decode_ids(p6_ids(spark, sf_dir), "doc_id", "ids")
+    both = raw.join(docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")), "doc_id")
+    return both.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), (F.col("raw") == F.col("text")).alias("same"))
+
+
 def _mix(spark: SparkSession, sf_dir: str, whole: bool = False):
     sizes = mixing.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     targets = table(spark, sf_dir, "mix_targets")
@@ -96,6 +104,11 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_types(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of characters and lines, and the share of digits, of every document's text."""
+    return p8_statistics(spark, sf_dir).select("doc_id", "n_chars", "n_lines", F.round("digit_ratio", 6).alias("digit_ratio"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text is for the larger part a list, a table or junk."""
     return p8_statistics(spark, sf_dir).where("text_type <> 'prose'").select("doc_id")
@@ -108,12 +121,14 @@ QUERIES = {
     "p1_combined": p1_combined,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
     "p7_mix": p7_mix,
     "p7_mix_full_size": p7_mix_full_size,
     "p7_report": p7_report,
     "p7_report_full_size": p7_report_full_size,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
+    "p8_counts": p8_counts,
 }
 
 _P = str(PERCENTILES)
@@ -132,6 +147,13 @@ f as (select * from u where v is not null and isfinite(v)),
 p as (select ts_key, c, unnest({_P})::double as p, unnest(quantile_disc(v, {_P})) + 0.0 as v, count(*) as n from f group by 1, 2),
 s as (select *, pow(2, floor(log2(abs(v))) - 7) as w from p)
 select ts_key, c as column_name, p, case when v = 0 then 0.0 else sign(v) * floor(abs(v) / w) * w end as value, n from s
+""",
+    "p6_round_trip": "select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, true as same from documents",
+    "p8_counts": r"""
+with t as (select doc_id, coalesce(text, '') as x from documents),
+s as (select doc_id, length(x) as n_chars, regexp_replace(x, '(?i)</(?:tr|li|p|div|h\d)>|<br\s*/?>', chr(10), 'g') as y from t)
+select doc_id, n_chars::bigint as n_chars, len(list_filter(regexp_split_to_array(y, '[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda z: regexp_matches(z, '[^\s\p{Z}\p{C}]')))::bigint as n_lines,
+  round(coalesce(len(regexp_extract_all(y, '\p{N}')) / nullif(length(regexp_replace(y, '[\s\p{Z}\p{C}]', '', 'g')), 0), 0), 6) as digit_ratio from s
 """,
     "p1_daily_sizes": """
 with r as (select distinct fit_id, cast(ds as date) as d, ts_key, q10, q50, q90 from q_fits),

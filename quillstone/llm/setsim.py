@@ -5,7 +5,10 @@ pairs of the folded text, a repeated pair numbered). Tokens are ordered by globa
 of Jaccard similarity t or more share one of their first ``n - ceil(t * n) + 1`` tokens, so only
 those prefixes are joined. A length filter and a positional filter (the most tokens that can still
 be common from the positions of the shared one) drop candidates, the rest are verified exactly, and
-the best item is kept (ties: the smallest item key). An entry without an item is reported with none.
+the best item is kept (ties: the smallest item key). The join is made at a high similarity first, where
+prefixes are short, and then at lower ones for the entries that found nothing: the best item of an entry
+that found one is at that stage, so the result is that of one join at the lowest. An entry without an
+item is reported with none.
 
 Other names of an item (codes) count only when they are equal to the entry after folding; a code
 one character off is another code.
@@ -13,7 +16,8 @@ one character off is another code.
 Scale: the work is done once per distinct entry, so rows are first reduced by a partial distinct;
 joins are equi-joins on (field, token) of short prefixes; the answer goes back to the rows by an
 equi-join on (field, entry), which AQE broadcasts when the distinct entries prove small and splits
-when one entry is hot. Nothing is collected.
+when one entry is hot. Nothing is collected. With a list of many items candidates grow with the lowest
+threshold alone, and only for entries that no higher stage settles.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,6 +35,8 @@ from quillstone.session import broadcast_if_small, cut
 
 #: Jaccard similarity of character pairs from which an entry is taken to mean an item.
 THRESHOLD = 0.22
+#: Similarities at which entries are looked at first: prefixes are short there, and most entries are done.
+STAGES = (0.7, 0.45)
 
 # Letters of other scripts that look like Latin ones, and letters that do not decompose.
 LOOKALIKES = str.maketrans(
@@ -81,6 +88,29 @@ def _ordered(df: DataFrame, ident: Sequence[str], rarity: DataFrame) -> DataFram
     return each.groupBy(*ident).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("toks"))  # a set has as many tokens as its text has characters
 
 
+def _candidates(entries: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``eid, rid`` that share a token of their prefixes and pass the length and positional filters."""
+
+    def prefixes(df: DataFrame, ident: Sequence[str], side: str) -> DataFrame:
+        n = F.size("toks")
+        short = F.slice(F.col("toks"), 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+        return df.select(*ident, n.alias(f"n{side}"), F.posexplode(short).alias(f"p{side}", "tok"))
+
+    a, b = prefixes(entries, ["field", "eid"], "a"), prefixes(items, ["field", "rid"], "b")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = a.join(broadcast_if_small(b), ["field", "tok"]).where(
+        (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    )
+    return near.select("eid", "rid").distinct()
+
+
+def _similar(entries: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Rows ``eid, item, similarity`` of all pairs at ``threshold`` or more; both sides with ordered ``toks``."""
+    full = _candidates(entries, items, threshold).join(entries.select("eid", F.col("toks").alias("ta")), "eid").join(broadcast_if_small(items.select("rid", "item", F.col("toks").alias("tb"))), "rid")
+    common = F.size(F.array_intersect("ta", "tb"))
+    return full.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).where(F.col("similarity") >= threshold - 1e-9).select("eid", "item", "similarity")
+
+
 def closest_items(entries: DataFrame, items: DataFrame, other_names: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The closest item of each entry: rows ``field, entry, item, similarity``; without an item none.
 
@@ -96,22 +126,14 @@ def closest_items(entries: DataFrame, items: DataFrame, other_names: DataFrame |
     fits = F.size("toks").between((sizes["lo"] or 0) * threshold - 1e-9, (sizes["hi"] or 0) / threshold + 1e-9)
     near_e = e.where(fits).select("field", "eid", "toks")
     rarity = near_e.select(F.explode("toks").alias("tok")).unionByName(r.select(F.explode("toks").alias("tok"))).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    eo, ro = _ordered(near_e, ["field", "eid"], rarity), _ordered(r, ["field", "item", "rid"], rarity)
-
-    def prefixes(df: DataFrame, ident: Sequence[str], side: str) -> DataFrame:
-        n = F.size("toks")
-        short = F.slice(F.col("toks"), 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-        return df.select(*ident, n.alias(f"n{side}"), F.posexplode(short).alias(f"p{side}", "tok"))
-
-    a, b = prefixes(eo, ["field", "eid"], "a"), prefixes(ro, ["field", "item", "rid"], "b")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    near = a.join(broadcast_if_small(b), ["field", "tok"]).where(
-        (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-    )
-    pairs = near.select("eid", "item", "rid").distinct()
-    full = pairs.join(near_e.select("eid", F.col("toks").alias("ta")), "eid").join(broadcast_if_small(r.select("rid", F.col("toks").alias("tb"))), "rid")
-    common = F.size(F.array_intersect("ta", "tb"))
-    scored = full.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).where(F.col("similarity") >= threshold - 1e-9).select("eid", "item", "similarity")
+    todo, ro = cut(_ordered(near_e, ["field", "eid"], rarity)), cut(_ordered(r, ["field", "item", "rid"], rarity))
+    # an entry's best item is found at the highest stage at which it has any
+    found = []
+    for at in sorted({t for t in STAGES if t > threshold} | {threshold}, reverse=True):
+        best = cut(_similar(todo, ro, at).groupBy("eid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "item")).alias("b")).select("eid", "b.item", (-F.col("b.s")).alias("similarity")))
+        found.append(best)
+        todo = todo.join(broadcast_if_small(best.select("eid")), "eid", "left_anti")
+    scored = reduce(DataFrame.unionByName, found)
     if other_names is not None:
         o = _tokenized(other_names.select("field", "item", "name").where("name is not null"), "name").where("key <> ''").select("field", "item", "key").distinct()
         same = e.select("field", "key", "eid").join(broadcast_if_small(cut(o)), ["field", "key"]).select("eid", "item", F.lit(1.0).alias("similarity"))

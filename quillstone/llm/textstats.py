@@ -116,6 +116,7 @@ class Texts:
 
     def __init__(self, texts: Sequence[str]) -> None:
         # every text ends with a line end of its own
+        self.n_chars = np.array([len(t) for t in texts], np.int64)
         texts = [_TAGS.sub("\n", t) if "<" in t else t for t in texts]
         joined = "\n".join(texts) + "\n"
         self.codes = codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -123,7 +124,6 @@ class Texts:
         self.cls = cls = tables.classes(codes)
         sizes = np.array([len(t) for t in texts], np.int64) + 1
         self.doc_start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.n_chars = sizes - 1
         breaks = np.flatnonzero(cls & BREAK)
         # the last character of a text is a line end, so lines begin after line ends only
         self.line_start = np.concatenate([[0], breaks[:-1] + 1])
