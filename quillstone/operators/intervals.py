@@ -52,7 +52,7 @@ class IntervalMap:
 
 
 def _block_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, b, s, e) ordered by (k, b) → the disjoint pieces of each (k, b)."""
+    """Rows (k, b, s, e) ordered by (k, b, s) → the disjoint pieces of each (k, b); in that order an insertion is at the end."""
     out: tuple[list, list, list, list] = ([], [], [], [])
     key, state = None, IntervalMap()
 
@@ -122,18 +122,26 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, block_day
     continues it. No valid row: empty result. Other columns of ``df`` are not read, so any name
     may occur among them.
     """
+    kind = df.schema[entity].dataType.simpleString()
+    schema = f"k {kind}, b long, s long, e long"
+    pieces = block_pieces(df, entity, start, end, block_days).mapInArrow(_partial_maps, schema).repartition("k", "b").sortWithinPartitions("k", "b", "s").mapInArrow(_block_maps, schema)
+    return join_blocks(pieces, entity)
+
+
+def block_pieces(df: DataFrame, entity: str, start: str, end: str, block_days: int) -> DataFrame:
+    """Valid intervals cut at the borders of time blocks: rows ``k, b, s, e`` in epoch seconds."""
     width = block_days * 86400
     sec = lambda c: F.unix_timestamp(F.date_trunc("second", F.col(c).cast("timestamp"))).cast("long")
-    kind = df.schema[entity].dataType.simpleString()
-    cut = (
+    return (
         df.select(F.col(entity).alias("k"), sec(start).alias("s"), sec(end).alias("e"))
         .where(F.col("k").isNotNull() & (F.col("e") > F.col("s")))
         .withColumn("b", F.explode(F.sequence(F.expr(f"s div {width} - if(s < 0 and s % {width} != 0, 1, 0)"), F.expr(f"(e - 1) div {width} - if(e - 1 < 0 and (e - 1) % {width} != 0, 1, 0)"))))
         .select("k", "b", F.greatest("s", F.col("b") * width).alias("s"), F.least("e", (F.col("b") + 1) * width).alias("e"))
     )
-    schema = f"k {kind}, b long, s long, e long"
-    pieces = cut.mapInArrow(_partial_maps, schema).repartition("k", "b").sortWithinPartitions("k", "b").mapInArrow(_block_maps, schema)
 
+
+def join_blocks(pieces: DataFrame, entity: str) -> DataFrame:
+    """Rows ``entity, seg_kind, ds_from, ds_to`` from the disjoint pieces ``k, b, s, e`` of every block of an entity."""
     # A block's pieces are folded into one row: inner pieces are final, the outer two are joined over blocks.
     # The list of a block is bounded by its seconds; it has as many entries as the block has periods.
     blocks = pieces.groupBy("k", "b").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("p"))

@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.session import broadcast_if_small, cut, small
+
 #: Parts that the intervals of a column are split into in one pass, all together.
 PARTS = 8192
 
@@ -45,8 +47,8 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], ends: dict[
             x, parts = _value(c), max(16, PARTS // len(todo[c]))
             place = F.lit(None).cast("int")
             for i, (lo, hi, _, _) in reversed(list(enumerate(todo[c]))):
-                # halves first: the width of an interval may be beyond the doubles
-                at = (x / 2 - lo / 2) / (hi / 2 - lo / 2) * parts
+                # by halves where the width of an interval is beyond the doubles
+                at = (x - lo) / (hi - lo) * parts if math.isfinite(hi - lo) else (x / 2 - lo / 2) / (hi / 2 - lo / 2) * parts
                 place = F.when(x.between(lo, hi), F.least(F.lit(parts - 1), F.floor(at)).cast("int") + i * parts).otherwise(place)
             items.append(F.when(place.isNotNull(), F.struct(F.lit(k).alias("k"), place.alias("at"), x.alias("x"))))
         each = df.select(F.explode(F.array_compact(F.array(*items))).alias("v")).select("v.*")
@@ -81,3 +83,32 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
         return a if a == b else a + (b - a) * (p - math.floor(p))
 
     return {c: [between(got[c], p) for p in at[c]] if sizes[c] else None for c in cols}
+
+
+#: Rows of one window that a single task sorts without harm; more are summed in ranges.
+WINDOW_ROWS = 100_000
+
+
+def running_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
+    """``df`` with ``<c>_upto`` (sum up to and with the row in ``order``) and ``<c>_total`` of each column, per group.
+
+    Rows must be unique by (``by``, ``order``). A table of more than ``WINDOW_ROWS`` rows is parted by
+    ranges of the order: each range is summed, the sums of the ranges before are added, so no group has
+    to fit one task. The result is the same either way.
+    """
+    kept = cut(df)
+    names = [f"{c}_{k}" for c in cols for k in ("upto", "total")]
+    if small(kept, WINDOW_ROWS):
+        w = Window.partitionBy(*(by or [F.lit(0)]))
+        return kept.withColumns({n: F.sum(c).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0) if n.endswith("upto") else w) for c in cols for n in names if n.startswith(f"{c}_")})
+    ranged = cut(kept.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range", *by).agg(*[F.sum(c).alias(c) for c in cols])
+    # one row per range and group in it
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    before = sums.select(F.col("_range").alias("_r"), *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], *[x for c in cols for x in (F.coalesce(F.sum(c).over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_{c}_before"), F.sum(c).over(w).alias(f"{c}_total"))])
+    match = F.col("_range") == F.col("_r")
+    for i, b in enumerate(by):
+        match = match & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    inner = Window.partitionBy("_range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = ranged.join(broadcast_if_small(before), match)
+    return both.withColumns({f"{c}_upto": F.sum(c).over(inner) + F.col(f"_{c}_before") for c in cols}).select(*df.columns, *names)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.special import ks_p_value
 from quillstone.operators.clean import no_nan
-from quillstone.operators.quantiles import column_quantiles
+from quillstone.operators.quantiles import column_quantiles, running_sums
 
 TWO_PI = 6.283185307179586
 
@@ -178,19 +178,18 @@ def dist_df(df: DataFrame, x: str, cdf: str, inc: float = 0.01, p0: float = 0.0)
 def kaplan_meier(df: DataFrame, duration: str, event: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, t, at_risk, deaths, survival, cdf`` at each distinct duration; rows need a duration.
 
-    Rows are first counted per duration; the curve is a window over those counts.
+    Rows are first counted per duration; the curve is made of running sums over those counts, in ranges
+    of durations where there are many.
     """
     t = no_nan(duration)
     counts = df.where(t.isNotNull()).groupBy(*by, t.alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col(event).cast("boolean"), F.lit(False))).alias("deaths"))
-    keys = list(by) or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy("t")
-    at_risk = F.sum("n").over(w.rowsBetween(0, Window.unboundedFollowing))
-    c = counts.withColumn("at_risk", at_risk)
+    summed = running_sums(counts, list(by), "t", ["n"])
+    c = summed.withColumn("at_risk", F.col("n_total") - F.col("n_upto") + F.col("n")).select(*by, "t", "at_risk", "deaths")
+    # all at risk die at the last time only: the curve ends at 0 there
     live = F.when(F.col("deaths") < F.col("at_risk"), F.ln(1 - F.col("deaths") / F.col("at_risk"))).otherwise(F.lit(0.0))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    dead = F.max((F.col("deaths") >= F.col("at_risk")).cast("int")).over(upto)
-    s = F.when(dead == 1, F.lit(0.0)).otherwise(F.exp(F.sum(live).over(upto)))
-    return c.withColumn("survival", s).select(*by, "t", "at_risk", "deaths", "survival", (1 - F.col("survival")).alias("cdf"))
+    s = running_sums(c.withColumn("live", live), list(by), "t", ["live"])
+    survival = F.when(F.col("deaths") >= F.col("at_risk"), F.lit(0.0)).otherwise(F.exp("live_upto"))
+    return s.withColumn("survival", survival).select(*by, "t", "at_risk", "deaths", "survival", (1 - F.col("survival")).alias("cdf"))
 
 
 def km_curve_increasing(curve: DataFrame, split_zero: bool = True) -> tuple[DataFrame, float]:
@@ -218,15 +217,13 @@ def decensor(df: DataFrame, duration: str, event: str, n: int, seed: int = 0) ->
 def ks_two_sample(df: DataFrame, col: str, is_first: Column, by: Sequence[str] = ()) -> DataFrame:
     """``by, d, n1, n2``: largest distance of the empirical distributions of two samples.
 
-    Rows are counted per distinct value, then running sums are compared.
+    Rows are counted per distinct value, then running sums are compared, in ranges of values where there are many.
     """
     x = no_nan(col)
     counts = df.where(x.isNotNull() & is_first.isNotNull()).groupBy(*by, x.alias("x")).agg(F.count_if(is_first).alias("a"), F.count_if(~is_first).alias("b"))
-    keys = list(by) or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    d = F.abs(F.try_divide(F.sum("a").over(w), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(w), F.sum("b").over(whole)))
-    return counts.withColumn("d", d).groupBy(*by).agg(F.max("d").alias("d"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    c = running_sums(counts, list(by), "x", ["a", "b"])
+    d = F.abs(F.try_divide("a_upto", "a_total") - F.try_divide("b_upto", "b_total"))
+    return c.withColumn("d", d).groupBy(*by).agg(F.max("d").alias("d"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
 
 
 def with_ks_p(df: DataFrame) -> DataFrame:

@@ -3,39 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillstone.operators.intervals import IntervalMap
+from quillstone.operators.intervals import IntervalMap, block_pieces, join_blocks
 
-OUT = "entity string, seg_kind string, s long, e long"
 STATE = "starts array<long>, ends array<long>"
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Inserts the new intervals; puts out the periods and gaps of the entity as they now are."""
+def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = 0) -> Iterator[pd.DataFrame]:
+    """Inserts the new intervals; puts out the pieces of the entity's block as they now are."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     m = IntervalMap(*state.get) if state.exists else IntervalMap()
     for pdf in batches:
         for s, e in zip(pdf["s"], pdf["e"]):
             m.insert(int(s), int(e))
     state.update((m.starts, m.ends))
-    rows = [(key[0], "period", a, z) for a, z in m.periods()] + [(key[0], "gap", a, z) for a, z in m.gaps()]
-    yield pd.DataFrame(rows, columns=["entity", "seg_kind", "s", "e"])
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+    n = len(m.starts)
+    yield pd.DataFrame({"k": [key[0]] * n, "b": [key[1]] * n, "place": range(n), "n_pieces": [n] * n, "s": m.starts, "e": m.ends})
 
 
-def stream_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """A streaming frame of ``entity, seg_kind, s, e`` (epoch seconds), to be written in update mode.
+def stream_pieces(df: DataFrame, entity: str, start: str, end: str, block_days: int = 64, idle: str | None = None) -> DataFrame:
+    """A streaming frame of ``k, b, place, n_pieces, s, e`` (epoch seconds), to be written in update mode.
 
-    State is one ordered interval map per entity; every trigger puts out the whole map of the
-    entities it touched, so a sink keeps the last rows of an entity. Incomplete and empty intervals
-    are ignored; repeated ones change nothing.
+    State is one ordered interval map per (entity, time block), so a hot entity is spread over its
+    blocks and a map never holds more than a block. A trigger puts out the blocks it touched; a sink
+    keeps the last rows of a block (``n_pieces`` tells how many). With ``idle`` (as '30 days') the state
+    of a block that nothing has touched for so long is dropped; later intervals of it start anew.
+    ``periods_of_pieces`` makes periods and gaps. Incomplete and empty intervals are ignored.
     """
-    sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("long")
-    rows = df.select(F.col(entity).cast("string").alias("entity"), sec(start).alias("s"), sec(end).alias("e")).where("entity is not null and e > s")
-    return rows.groupBy("entity").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = block_pieces(df.withColumn(entity, F.col(entity).cast("string")), entity, start, end, block_days)
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("k", "b").applyInPandasWithState(partial(_update, idle_ms=ms), "k string, b long, place long, n_pieces long, s long, e long", STATE, "update", timeout)
+
+
+def periods_of_pieces(pieces: DataFrame, entity: str) -> DataFrame:
+    """Periods and gaps of the blocks' last pieces, as ``periods_and_gaps`` gives them."""
+    return join_blocks(pieces.select("k", "b", "s", "e"), entity)
 
 
 def tumbling(df: DataFrame, ts: str, width: str, by: list[str], value: str, watermark: str = "1 hour") -> DataFrame:

@@ -82,20 +82,21 @@ def test_string_entities(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from quillstone.streaming.intervals import stream_periods
+    from quillstone.streaming.intervals import periods_of_pieces, stream_pieces
 
-    rows = [(1, D(0), D(5)), (1, D(9), D(10)), (1, D(4), D(7)), (2, D(0), D(1)), (1, D(0), D(5))]
+    rows = [(1, D(0), D(5)), (1, D(9), D(10)), (1, D(4), D(7)), (2, D(0), D(1)), (1, D(0), D(5)), (2, D(30), D(200))]
     for i, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, "id long, a timestamp_ntz, z timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     src = spark.readStream.schema("id long, a timestamp_ntz, z timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     latest = {}
 
     def sink(df, epoch):
-        for e, own in df.toPandas().groupby("entity"):
-            latest[e] = {(r.seg_kind, r.s, r.e) for r in own.itertuples()}
+        for key, own in df.toPandas().groupby(["k", "b"]):
+            assert len(own) == own["n_pieces"].iloc[0]
+            latest[key] = [(r.k, r.b, r.s, r.e) for r in own.itertuples()]
 
-    q = stream_periods(src, "id", "a", "z").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(sink).start()
+    q = stream_pieces(src, "id", "a", "z", block_days=6).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(sink).start()
     q.processAllAvailable()
     q.stop()
-    sec = lambda d: int((d - dt.datetime(1970, 1, 1)).total_seconds())
-    assert {(int(e), k, a, z) for e, s in latest.items() for k, a, z in s} == {(g, k, sec(a), sec(z)) for g, k, a, z in brute(rows)}
+    pieces = spark.createDataFrame([p for ps in latest.values() for p in ps], "k string, b long, s long, e long")
+    assert {(int(r["id"]), r["seg_kind"], r["ds_from"], r["ds_to"]) for r in periods_of_pieces(pieces, "id").collect()} == set(brute(rows))
