@@ -9,9 +9,10 @@ lineage is cut by a reliable checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,11 +65,8 @@ def impute(df: DataFrame, sentinels: Sequence[str] = (), ex_cols: Sequence[str]
     open_ = [i for i in range(m) if filled[(texts + nums).index(feats[i][0])] < stat["n"]]
     x = lambda i: F.get("_x", F.lit(i))
     for _ in range(rounds):
-        pairs = [(i, j) for i in range(m) for j in range(i, m)]
-        s = work.agg(F.array(*[F.avg(x(i)) for i in range(m)]).alias("s"), F.array(*[F.avg(x(i) * x(j)) for i, j in pairs]).alias("p")).first()
-        mu, cov = np.array(s["s"]), np.zeros((m, m))
-        for (i, j), v in zip(pairs, s["p"]):
-            cov[i, j] = cov[j, i] = v - mu[i] * mu[j]
+        mu, products = _moments(work, m)
+        cov = products - np.outer(mu, mu)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         corr = np.abs(cov / sd[:, None] / sd[None, :])
         new = [x(i) for i in range(m)]
@@ -95,6 +93,26 @@ def impute(df: DataFrame, sentinels: Sequence[str] = (), ex_cols: Sequence[str]
     return _shaped(work.withColumns(out), carried, texts, nums, kinds)
 
 
+def _moments(work: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the ``m`` features in ``_x`` and of their products: outer products are summed per task, then over tasks."""
+    upper = np.triu_indices(m)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, g = 0, np.zeros(m), np.zeros((m, m))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], s, g[upper]]).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    parts = work.select("_x").mapInArrow(add, "v array<double>").select(F.posexplode("v").alias("i", "v"))
+    got = {r["i"]: r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect()}  # one row per sum, m (m + 3) / 2 + 1
+    v = np.array([got[i] for i in range(len(got))])
+    n, s = max(v[0], 1.0), v[1 : m + 1]
+    g = np.zeros((m, m))
+    g[upper] = v[m + 1 :]
+    return s / n, (g + np.triu(g, 1).T) / n
+
+
 def _shaped(df: DataFrame, carried, texts, nums, kinds) -> DataFrame:
     back = lambda c: (F.round(F.col(f"`{c}`")) if isinstance(kinds[c], (T.IntegralType, T.BooleanType)) else F.col(f"`{c}`")).cast(kinds[c]).alias(c)
     return df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`") for c in texts], *[back(c) for c in nums])

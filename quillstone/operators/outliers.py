@@ -1,7 +1,8 @@
 """Outliers of a time series against a baseline: trend and season by least squares, residual IQR band.
 
-The baseline is pluggable: a column, or the built-in regression on time, weekday and yearly Fourier
-terms. Its normal equations are sums, so any series length is one partial aggregate per series; only
+The baseline is pluggable: a column, or the built-in regression on a trend whose slope may change at
+even points of the first four fifths of the span, on the weekday and on yearly Fourier terms; changes
+of slope are shrunk, so a straight trend stays straight. Its normal equations are sums, so any series length is one partial aggregate per series; only
 the solving of a small system per series is Python.
 """
 
@@ -17,25 +18,31 @@ from pyspark.sql import functions as F
 from quillstone.operators.clean import iqr_bounds, no_nan
 
 
-def seasonal_terms(t: Column, start: Column, span: Column, fourier: int = 2) -> list[Column]:
-    """Regressors: constant, position in the span, six weekdays, yearly waves."""
+#: Weight per row that shrinks a change of slope, and the regressors that are not shrunk.
+SHRINK, PLAIN = 1e-4, 8
+
+
+def seasonal_terms(t: Column, start: Column, span: Column, fourier: int = 2, changes: int = 0) -> list[Column]:
+    """Regressors: constant, position in the span, six weekdays, yearly waves, hinges at ``changes`` even points."""
     secs = F.unix_timestamp(t.cast("timestamp")).cast("double")
     pos = F.coalesce(F.try_divide(secs - start, span), F.lit(0.0))
     year = secs / (365.25 * 86400) * 6.283185307179586
     out = [F.lit(1.0), pos] + [(F.weekday(t) == d).cast("double") for d in range(6)]
     for k in range(1, fourier + 1):
         out += [F.cos(year * k), F.sin(year * k)]
+    out += [F.greatest(pos - 0.8 * (k + 1) / (changes + 1), F.lit(0.0)) for k in range(changes)]
     return out
 
 
-def linear_baseline(df: DataFrame, by: Sequence[str], tcol: str, ycol: str, fourier: int = 2, name: str = "yhat") -> DataFrame:
+def linear_baseline(df: DataFrame, by: Sequence[str], tcol: str, ycol: str, fourier: int = 2, name: str = "yhat", changes: int = 6) -> DataFrame:
     """``df`` with the fitted value of ridge-stabilised least squares per series."""
     y = no_nan(ycol)
     secs = F.unix_timestamp(F.col(tcol).cast("timestamp")).cast("double")
     ends = df.groupBy(*by).agg(F.min(secs).alias("_t0"), (F.max(secs) - F.min(secs)).alias("_span"))
     rows = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # without series one row
-    x = seasonal_terms(F.col(tcol), F.col("_t0"), F.col("_span"), fourier)
+    x = seasonal_terms(F.col(tcol), F.col("_t0"), F.col("_span"), fourier, changes)
     k = len(x)
+    shrink = np.array([1e-8] * (PLAIN + 2 * fourier) + [SHRINK] * changes)
     xs = rows.withColumn("_x", F.array(*x))
     get = lambda i: F.get("_x", F.lit(i))
     ok = y.isNotNull()
@@ -50,7 +57,7 @@ def linear_baseline(df: DataFrame, by: Sequence[str], tcol: str, ycol: str, four
             g = np.zeros((k, k))
             g[np.triu_indices(k)] = a
             g = g + np.triu(g, 1).T
-            out.append(np.linalg.solve(g + np.eye(k) * 1e-8 * max(m, 1), np.asarray(b)).tolist())
+            out.append(np.linalg.solve(g + np.diag(shrink) * max(m, 1), np.asarray(b)).tolist())
         return pd.Series(out)
 
     beta = normal.select(*by, solve("xx", "xy", "_n").alias("_beta"))

@@ -556,20 +556,6 @@ def hyper_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixtures.fit_groups(df, ["event_type"], "value", lambda x, n: mixtures.hyper_exp(x, counts=n), weighted=True)
 
 
-@query()
-def quantile_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lognormal mixture through the quantiles of each segment."""
-    ps = [0.1, 0.25, 0.5, 0.75, 0.9]
-    df = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    return mixtures.fit_groups(df, ["c_mktsegment"], "c_acctbal", lambda x, n: mixtures.quantile_mixture(dict(zip(ps, mixtures.quantiles(x, n, ps))), "lognorm", 1), weighted=True)
-
-
-@query()
-def loess_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "events").groupBy("event_type", F.unix_date(F.col("ts").cast("date")).alias("d")).agg(F.sum("value").alias("y"))
-    return smooth.loess(d, ["event_type"], "d", "y", 0.5)
-
-
 @query()
 def loess_best_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").groupBy("event_type", F.unix_date(F.col("ts").cast("date")).alias("d")).agg(F.sum("value").alias("y"))
@@ -607,11 +593,6 @@ def bootstrap_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.bootstrap(table(spark, sf_dir, "part"), ["p_retailprice", "p_size"], "p_partkey")
 
 
-@query()
-def conditional_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.cond_quantile(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 0.5, [5.0, 15.0, 25.0, 35.0, 45.0], 3.0)
-
-
 @query()
 def white_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("event_type", "event_id", "value")

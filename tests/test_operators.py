@@ -242,3 +242,19 @@ def test_regression_and_changes(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (3,)], "k int")
     new, gone, both = aggregate.column_changes(a, b)
     assert (vals(new, "k"), vals(gone, "k"), vals(both, "k")) == ([3], [1, 2], [1])
+
+
+def test_baseline_follows_a_change_of_trend(spark):
+    """A slope that changes half way is no stretch of outliers; a spike on it is one."""
+    import datetime as dt
+    import random
+
+    rnd = random.Random(4)
+    rows = [("s", dt.datetime(2023, 1, 1) + dt.timedelta(days=i), 100 + 0.5 * i + (6.0 * (i - 100) if i > 100 else 0) + rnd.gauss(0, 4) + (400 if i == 150 else 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, y double")
+    from quillstone.operators import outliers
+
+    got = {r["ts"].timetuple().tm_yday - 1 for r in outliers.ts_outliers(df, ["k"], "ts", "y")[0].where("is_outlier").collect()}
+    assert 150 in got and len(got) <= 4
+    straight = outliers.linear_baseline(df.where("ts < timestamp'2023-04-10'"), ["k"], "ts", "y")
+    assert straight.agg({"yhat": "count"}).first()[0] == 99
