@@ -96,7 +96,8 @@ FALSE_ALARMS = 0.01
 
 def _tail(z: np.ndarray) -> float:
     """How much farther than a normal sample the outer twentieth of standardised values reaches, 1 at least."""
-    return max(1.0, float(np.quantile(np.abs(z), 0.95)) / 1.96) if z.size else 1.0
+    at = int(0.95 * (z.size - 1))
+    return max(1.0, float(np.partition(np.abs(z), at)[at]) / 1.96) if z.size else 1.0
 
 
 def phase_space(u: np.ndarray, false_alarms: float = FALSE_ALARMS) -> tuple[np.ndarray, np.ndarray]:
@@ -116,17 +117,21 @@ def phase_space(u: np.ndarray, false_alarms: float = FALSE_ALARMS) -> tuple[np.n
         n = left.size
         wide = np.concatenate([x[:1], x, x[-1:]])
         axes = {"value": x, "first": (wide[2:] - wide[:-2]) / 2, "second": x - (wide[2:] + wide[:-2]) / 2}
-        unit = {}
+        unit, tail = {}, {}
         for name, z in axes.items():
-            scale = _mad(z) or 1.2533 * float(np.mean(np.abs(z)))
-            unit[name] = (z - np.median(z)) / scale if scale > 0 else np.zeros(n)
+            z = z - np.median(z)
+            size = np.abs(z)
+            scale = 1.4826 * float(np.median(size)) or 1.2533 * float(size.mean())
+            unit[name] = z / scale if scale > 0 else np.zeros(n)
+            tail[name] = _tail(unit[name])
         far = np.zeros(n)
         for a, b in PLANES:
             p, q = unit[a], unit[b]
-            plus, minus = _mad(p + q) ** 2, _mad(p - q) ** 2
+            # both are centred, and so nearly are their sum and difference
+            plus, minus = float(np.median(np.abs(p + q))) ** 2, float(np.median(np.abs(p - q))) ** 2
             r = np.clip((plus - minus) / (plus + minus), -0.95, 0.95) if plus + minus > 0 else 0.0
             dist = np.sqrt(np.maximum((p * p - 2 * r * p * q + q * q) / (1 - r * r), 0.0))
-            far = np.maximum(far, dist / max(_tail(p), _tail(q)))
+            far = np.maximum(far, dist / max(tail[a], tail[b]))
         far /= np.sqrt(2 * np.log(n / false_alarms)) * (1 + 2.32 / np.sqrt(n))
         radius[left] = far
         size = np.concatenate([[-1.0], np.abs(x), [-1.0]])
