@@ -43,25 +43,26 @@ def count_edges(df: DataFrame, col: str, n: int, digits: int = 9, accuracy: int
     return sorted({round(e, digits) for e in got or []})
 
 
-def with_count_bins(df: DataFrame, col: str, n: int, name: str = "bin", accuracy: int | None = None) -> DataFrame:
-    """``df`` with the equal-count bin of ``col``; equal values share a bin."""
-    edges = count_edges(df, col, n, accuracy=accuracy)
+def with_count_bins(df: DataFrame, col: str, n: int, name: str = "bin", accuracy: int | None = None, edges: list[float] | None = None) -> DataFrame:
+    """``df`` with the equal-count bin of ``col``; equal values share a bin. ``edges``: inner edges, if known."""
+    edges = count_edges(df, col, n, accuracy=accuracy) if edges is None else edges
     x = F.round(no_nan(col), 9)
     return df.withColumn(name, count_bin(x, F.array(*[F.lit(e) for e in edges])) if edges else F.when(x.isNotNull(), F.lit(0)))
 
 
-def _heavy(df: DataFrame, col: str, n: int) -> list[float]:
-    """Values that fill at least one of n bins alone; at most n of them."""
+def _heavy(df: DataFrame, col: str, n: int) -> tuple[list[float], list[float]]:
+    """(values that fill at least one of n bins alone, at most n of them; distinct inner edges of n equal-count bins of all)."""
     x = no_nan(col)
     # such a value lies at one of n even ranks at least: few candidates, counted in one aggregate
     grid = column_quantiles(df, [col], [i / (4 * n) for i in range(4 * n + 1)])[col]
     if grid is None:
-        return []
+        return [], []
+    edges = sorted({round(e, 9) for e in grid[4:-1:4]})
     held = sorted({a for a, b in zip(grid, grid[1:]) if a == b} | ({grid[0]} if n == 1 else set()))
     if not held:
-        return []
+        return [], edges
     got = df.agg(F.count(x).alias("total"), *[F.count_if(x == v).alias(f"k{i}") for i, v in enumerate(held)]).first()
-    return [v for i, v in enumerate(held) if got[f"k{i}"] >= got["total"] / n]
+    return [v for i, v in enumerate(held) if got[f"k{i}"] >= got["total"] / n], edges
 
 
 def bin_values(df: DataFrame, col: str, n: int, kind: str = "count", qfunc: str = "median", discrete: Sequence[str] | None = None, thres: float | None = None) -> DataFrame:
@@ -72,7 +73,7 @@ def bin_values(df: DataFrame, col: str, n: int, kind: str = "count", qfunc: str
     """
     agg = AGGREGATES[qfunc]
     rows = df.where(no_nan(col).isNotNull())
-    heavy = _heavy(rows, col, n)
+    heavy, edges = _heavy(rows, col, n)
     x = no_nan(col)
     light = rows.where(~x.isin(*heavy)) if heavy else rows
     share_light = 1.0
@@ -82,7 +83,7 @@ def bin_values(df: DataFrame, col: str, n: int, kind: str = "count", qfunc: str
     m = max(1, round(n * share_light)) if share_light > 0 else 0
     parts = []
     if m:
-        parts.append(with_size_bins(light, col, m) if kind == "size" else with_count_bins(light, col, m))
+        parts.append(with_size_bins(light, col, m) if kind == "size" else with_count_bins(light, col, m, edges=None if heavy else edges))
     if heavy:
         own = F.array_position(F.array(*[F.lit(h) for h in heavy]), x).cast("int") - 1 + m
         parts.append(rows.where(x.isin(*heavy)).withColumn("bin", own))

@@ -86,7 +86,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
 
 
 #: Rows of one window that a single task sorts without harm; more are summed in ranges.
-WINDOW_ROWS = 100_000
+WINDOW_ROWS = 1_000_000
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
