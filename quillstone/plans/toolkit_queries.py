@@ -204,12 +204,12 @@ def masses_put_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(k), round(v, 8)) for k, v in found.items()], "pt double, mass double")
 
 
-@query("with d as (select cast(o_orderdate as date) as d, sum(o_totalprice) as y from orders group by 1), r as (select isodow(d)::int as iso_nbr, year(d) as y0, d, y from d) select iso_nbr, strftime(min(case when y0 = 1996 then d end), '%Y-%m-%d') as d, round(avg(case when y0 = 1996 then y end), 4) as y1996, round(avg(case when y0 = 1997 then y end), 4) as y1997 from r group by 1")
+@query("with d as (select cast(o_orderdate as date) as d, sum(o_totalprice) as y from orders group by 1), r as (select isodow(d)::int as iso_nbr, year(d) as y0, d, y from d) select iso_nbr, strftime(min(case when y0 = 1996 then d end), '%Y-%m-%d') as d, round(avg(case when y0 = 1996 then y end), 2) as y1996, round(avg(case when y0 = 1997 then y end), 2) as y1997 from r group by 1")
 def weekdays_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years side by side by weekday."""
     daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.sum("o_totalprice").alias("y"))
     out = windows.plot_by_year(daily, ["y"], "d", [1996, 1997], time_scale="D")
-    return out.select("iso_nbr", F.date_format("d", "yyyy-MM-dd").alias("d"), _r("1996_y", "y1996", 4), _r("1997_y", "y1997", 4))
+    return out.select("iso_nbr", F.date_format("d", "yyyy-MM-dd").alias("d"), _r("1996_y", "y1996", 2), _r("1997_y", "y1997", 2))
 
 
 @query("select 'D' as freq, strftime(d, '%Y-%m-%d') as win_start, strftime(d, '%Y-%m-%d') as win_end from (select range::date as d from range(date '2020-01-08', date '2020-04-20', interval 1 day)) union all select 'M', strftime(greatest(m, date '2020-01-08'), '%Y-%m-%d'), strftime(least((m + interval 1 month)::date - 1, date '2020-04-19'), '%Y-%m-%d') from (select range::date as m from range(date '2020-01-01', date '2020-05-01', interval 1 month))")
