@@ -36,7 +36,7 @@ def sim_ecdf(df: DataFrame, x: str, q_vals: Sequence[float]) -> DataFrame:
 
 def sim_ecdf_draws(df: DataFrame, x: str, n: int, seed: int = 0) -> DataFrame:
     """``i, x``: n seeded draws from the points, by inversion on a fine quantile grid."""
-    grid = df.agg(F.percentile(no_nan(x), F.array(*[F.lit(i / 1000) for i in range(1001)])).alias("v"))
+    grid = df.sparkSession.createDataFrame([(column_quantiles(df, [x], [i / 1000 for i in range(1001)])[x],)], "v array<double>")
     u = hash_uniform(seed, F.col("id")) * 1000
     i = F.floor(u).cast("int")
     draws = df.sparkSession.range(n).crossJoin(F.broadcast(grid))  # one row

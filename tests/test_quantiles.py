@@ -36,6 +36,42 @@ def test_quantiles_of_nothing_one_and_several(spark):
     assert column_quantiles(df.where("false"), ["b"], [0.5]) == {"b": None}
 
 
+@pytest.mark.parametrize("cases", [100, 0])
+def test_a_thousand_quantiles_equal_sorting(spark, monkeypatch, cases):
+    """Of values of many orders, with ties, null and NaN, beside a column with few intervals; all looked up or only where many."""
+    monkeypatch.setattr(quantiles, "CASES", cases)
+    rnd = random.Random(4)
+    values = [rnd.gauss(0, 1) for _ in range(4000)] + [rnd.choice([-1, 1]) * rnd.lognormvariate(0, 30) for _ in range(300)] + [0.5] * 500 + [5e-324, 1.7e308, -1.7e308]
+    rnd.shuffle(values)
+    df = column(spark, values + [None, float("nan")])
+    got = column_quantiles(df.withColumn("y", F.col("id") % 50), ["x", "y"], [i / 1000 for i in range(1001)])
+    ordered, other = sorted(values), sorted(i % 50 for i in range(len(values) + 2))
+    for name, own in (("x", ordered), ("y", other)):
+        for i, g in enumerate(got[name]):
+            at = i / 1000 * (len(own) - 1)
+            a, b, w = own[math.floor(at)], own[math.ceil(at)], at - math.floor(at)
+            assert g == pytest.approx(a * (1 - w) + b * w, rel=1e-9, abs=1e-300)
+
+
+def test_quantiles_with_infinite_values(spark):
+    inf = math.inf
+    df = column(spark, [1.0, inf, 3.0, -inf, 2.0])
+    assert column_quantiles(df, ["x"], [0.0, 0.1, 0.25, 0.5, 0.625, 0.9, 1.0])["x"] == [-inf, -inf, 1.0, 2.0, 2.5, inf, inf]
+    assert column_quantiles(column(spark, [inf, inf]), ["x"], [0.0, 0.5]) == {"x": [inf, inf]}
+
+
+def test_draws_hold_no_column_in_one_task(spark):
+    """The grid of 1,001 quantiles is found by bisection, and draws interpolate it as before; none from no values."""
+    values = [math.exp(i / 3000) for i in range(20_000)]
+    df = spark.range(20_000).select(F.exp(F.col("id") / 3000).alias("x"))
+    draws = density.sim_ecdf_draws(df, "x", 500, 3)
+    assert "percentile" not in draws._jdf.queryExecution().toString()
+    grid = np.quantile(values, np.arange(1001) / 1000)
+    u = np.array([r[0] for r in spark.range(500).select(density.hash_uniform(3, F.col("id"))).collect()])
+    assert [r["x"] for r in draws.orderBy("i").collect()] == pytest.approx(list(np.interp(u, np.arange(1001) / 1000, grid)), rel=1e-9)
+    assert [r["x"] for r in density.sim_ecdf_draws(df.where("x < 0"), "x", 2).collect()] == [None, None]
+
+
 @pytest.mark.parametrize("rows", [10, 100_000])
 def test_running_sums_in_ranges_or_not(spark, monkeypatch, rows):
     monkeypatch.setattr(quantiles, "WINDOW_ROWS", rows)
